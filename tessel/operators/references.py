@@ -8,8 +8,8 @@ and the references, in Arrow batches, are found in them by binary search. What
 comes back are the spellings that may be unsound at some time: keys without a
 parent, and keys with a creation or deletion that touches the span of their
 use. Only references spelt that way are then tested one by one against the
-parent's periods; that table is broadcast only if Spark measures it as small
-enough, and else joined by sort-merge with skew splitting.
+parent's periods; that table is written, measured, and broadcast if it is small,
+else joined by sort-merge with skew splitting.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.keys import is_blank, match_key
+from tessel.plans.lineage import Cut
+from tessel.plans.sized import small_side
 
 MISSING, LATE, DELETED = "missing", "created_later", "deleted"
 _OUT = "kind string, raw string, created bigint, gone array<struct<from:bigint,to:bigint>>, missing boolean"
@@ -118,7 +120,8 @@ def orphan_references(events: DataFrame, fields: dict[str, str], row_id: str, ti
     make every reference missing; other columns are never read.
     """
     refs = references_of(events, fields, row_id, time)
-    keys = unsound_keys(refs.select("kind", "raw", "t"), reduce(DataFrame.unionByName, parents), deletions)
+    cut = Cut(events.sparkSession)
+    keys = small_side(cut(unsound_keys(refs.select("kind", "raw", "t"), reduce(DataFrame.unionByName, parents), deletions), "unsound"))
     reason = (
         F.when(F.col("missing"), MISSING)
         .when(F.col("created") > F.col("t"), LATE)
