@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Written bytes up to which a table is broadcast; Parquet opens to a few times as much.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 4 << 20
 
 
 def written_bytes(df: DataFrame) -> int:
