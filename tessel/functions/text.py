@@ -163,8 +163,8 @@ def table_markdown(rows: Column) -> Column:
     """Rows of cells as a Markdown table, the first as its header; rows without text are dropped."""
     kept = F.filter(rows, lambda r: F.exists(r, lambda x: F.coalesce(F.trim(x), F.lit("")) != ""))
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda x: F.coalesce(F.trim(x), F.lit(""))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.transform(kept[0], lambda x: F.lit("---")), " | "), F.lit(" |"))
-    return F.when(F.size(kept) == 0, "").otherwise(F.array_join(F.concat(F.array(line(kept[0]), rule), F.transform(F.slice(kept, 2, 1 << 30), line)), "\n"))
+    rule = F.concat(F.lit("| "), F.array_join(F.transform(F.get(kept, F.lit(0)), lambda x: F.lit("---")), " | "), F.lit(" |"))
+    return F.when(F.size(kept) == 0, "").otherwise(F.array_join(F.concat(F.array(line(F.get(kept, F.lit(0))), rule), F.transform(F.slice(kept, 2, 1 << 30), line)), "\n"))
 
 
 def table_text(markdown: Column, blocks: Column, instead: bool) -> Column:
@@ -198,7 +198,7 @@ def without_titles(content: Column, titles: Column) -> Column:
     n = F.size(titles)
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.array_join(F.slice(titles, k, F.greatest(n, F.lit(1))), " > "))
     heads = F.filter(F.concat(suffixes, titles), lambda t: (t != "") & F.startswith(content, t) & (F.length(content) - F.length(t) > 20))
-    cut = F.substring(content, F.length(heads[0]) + 1, F.length(content))
+    cut = F.substring(content, F.length(F.get(heads, F.lit(0))) + 1, F.length(content))
     return F.when((n > 0) & (F.size(heads) > 0), F.regexp_replace(cut, "^\\n{1,2}", "")).otherwise(content)
 
 
@@ -206,7 +206,7 @@ def overlap_length(prev: Column, cur: Column, most: int) -> Column:
     """Longest end of ``prev``, up to ``most``, with which ``cur`` begins; 0 if none."""
     limit = F.least(F.length(prev), F.length(cur), F.lit(most))
     sizes = F.when(limit > 0, F.sequence(limit, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.filter(sizes, lambda k: F.right(prev, k) == F.left(cur, k))[0], F.lit(0))
+    return F.coalesce(F.get(F.filter(sizes, lambda k: F.right(prev, k) == F.left(cur, k)), F.lit(0)), F.lit(0))
 
 
 def is_overlapping(prev: Column, cur: Column, window: int = 200, least: int = 50) -> Column:
@@ -222,7 +222,9 @@ def without_overlap(prev: Column, cur: Column, most: int = 200) -> Column:
 
 def is_included(prev: Column, cur: Column, most: int, least: int = 50) -> Column:
     """``cur`` begins with an end of ``prev`` of at least 50 characters."""
-    return overlap_length(prev, cur, 2 * most) >= least
+    near = F.right(prev, F.lit(2 * most))
+    # such an end holds the first characters of ``cur``: only where it does are lengths tried
+    return F.when(F.contains(near, F.left(cur, F.lit(least))) & (F.length(cur) >= least), overlap_length(near, cur, 2 * most) >= least).otherwise(False)
 
 
 def overlap_text(text: Column, most: int, slack: int = 200, least: int = 50) -> Column:

@@ -153,13 +153,16 @@ def least_body(bodies: Column, least: int = 200) -> Column:
 def add_overlap(bodies: Column, most: int, least_length: int = 128, least_overlap: int = 50) -> Column:
     """Each body but the first led by the end of the one before it as it was (D11, D14): if it is at least 128 long, the one before longer than ``most``, not included already, and the end longer than 50."""
 
-    def lead(x: Column, i: Column) -> Column:
-        prev = F.try_element_at(bodies, i)
-        end = overlap_text(prev, most)
-        wanted = (i > 0) & (F.length(x) >= least_length) & (F.length(prev) > most) & ~is_included(prev, x, most) & (F.length(end) > least_overlap) & ~F.startswith(x, end)
-        return F.when(F.coalesce(wanted, F.lit(False)), F.concat(end, F.lit("\n\n"), x)).otherwise(x)
+    state = "struct<out:array<string>,prev:string>"
+    empty = F.struct(F.array().cast(STRINGS).alias("out"), F.lit(None).cast("string").alias("prev")).cast(state)
 
-    return F.transform(bodies, lead)
+    def step(s: Column, x: Column) -> Column:
+        prev, end = s["prev"], overlap_text(s["prev"], most)
+        wanted = (F.length(x) >= least_length) & (F.length(prev) > most) & ~is_included(prev, x, most) & (F.length(end) > least_overlap) & ~F.startswith(x, end)
+        led = F.when(F.coalesce(wanted, F.lit(False)), F.concat(end, F.lit("\n\n"), x)).otherwise(x)
+        return F.struct(F.concat(s["out"], F.array(led)).alias("out"), x.alias("prev")).cast(state)
+
+    return F.aggregate(bodies, empty, step, lambda s: s["out"])
 
 
 def merge_by_path(chunks: DataFrame, most: int = MAX_LENGTH, least: int = 200, overlap: int = 400) -> DataFrame:
@@ -170,7 +173,7 @@ def merge_by_path(chunks: DataFrame, most: int = MAX_LENGTH, least: int = 200, o
     bodies = F.transform("rows", lambda r: r["body"])
     merged = add_overlap(least_body(pack_bodies(bodies, most), least), overlap)
     return (
-        paths.select("doc_id", "path_titles", F.size("rows").alias("n_merged"), F.col("rows")[0]["node_idx"].alias("first_node"), F.element_at("rows", -1)["node_idx"].alias("last_node"), F.posexplode(merged).alias("chunk_index", "body"))
+        paths.select("doc_id", "path_titles", F.size("rows").alias("n_merged"), F.get("rows", F.lit(0))["node_idx"].alias("first_node"), F.element_at("rows", -1)["node_idx"].alias("last_node"), F.posexplode(merged).alias("chunk_index", "body"))
         .withColumn("chunk_id", F.concat(F.lit("path_merged_"), F.col("first_node"), F.lit("_to_"), F.col("last_node")))
         .withColumn("content", with_titles(F.col("path_titles"), F.col("body")))
         .drop("body")

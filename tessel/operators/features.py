@@ -60,8 +60,8 @@ def feature_blocks(features: DataFrame, entities: DataFrame, entity_key: str, bl
     long = bucketed(features.withColumn("block", F.pmod(F.xxhash64("kind"), F.lit(blocks)).cast("int")), "tessel_features", "entity", "block")
     out = bucketed(entities, "tessel_entities", entity_key)
     for k in range(blocks):
-        block = long.where(F.col("block") == k).groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct(*values)))).alias(f"features_{k}"))
-        out = out.join(block, F.col(entity_key) == F.col("entity"), "left").drop("entity")
+        block = long.where(F.col("block") == k).groupBy(F.col("entity").alias("_tessel_entity")).agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct(*values)))).alias(f"features_{k}"))
+        out = out.join(block, F.col(entity_key) == F.col("_tessel_entity"), "left").drop("_tessel_entity")
     return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions.text import is_table_header, is_table_line, table_cells
+from tessel.plans.lineage import Cut
 
 PARAGRAPH_LEVEL = 999
 LEVELS = 9
@@ -52,7 +53,7 @@ def outline_nodes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     before = w.rowsBetween(Window.unboundedPreceding, 0)
     lines = outline_lines(docs, doc, text).withColumn("table", (F.col("kind") != "heading") & is_table_line(F.col("content")))
     lines = lines.withColumn("headed", F.max(F.col("kind") == "heading").over(Window.partitionBy("doc_id")))
-    opens = F.col("headed") & ((F.col("kind") == "heading") | (~F.col("table") & ((F.col("kind") == "paragraph") | (F.coalesce(F.lag("kind").over(w), F.lit("")).isin("heading", ""))) ))
+    opens = F.col("headed") & ((F.col("kind") == "heading") | (~F.col("table") & ((F.col("kind") == "paragraph") | (F.coalesce(F.lag("kind").over(w), F.lit("")).isin("heading", "")))))
     lines = lines.withColumn("node_idx", F.sum(F.when(opens, 1).otherwise(0)).over(before).cast("int"))
     lines = lines.withColumn("run", F.sum(F.when(F.col("table") & ~F.coalesce(F.lag("table").over(w), F.lit(False)), 1).otherwise(0)).over(before))
     row = F.struct("line", F.when(~F.col("table"), F.col("content")).alias("content"))
@@ -63,7 +64,7 @@ def outline_nodes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     )
     runs = F.array_sort(F.array_distinct(F.transform("cells", lambda x: x["run"])))
     rows_of = lambda r: F.transform(F.filter("cells", lambda x: x["run"] == r), lambda x: x["cells"])
-    tables = F.transform(runs, lambda r: F.struct(rows_of(r).alias("rows"), is_table_header(rows_of(r)[0]).alias("has_header"), F.lit("after").alias("position")))
+    tables = F.transform(runs, lambda r: F.struct(rows_of(r).alias("rows"), is_table_header(F.get(rows_of(r), F.lit(0))).alias("has_header"), F.lit("after").alias("position")))
     body = body.select("doc_id", "node_idx", "head_level", F.array_join(F.transform("rows", lambda x: x["content"]), "\n").alias("text"), tables.alias("tables"))
     roots = docs.select(F.col(doc).alias("doc_id"), F.lit(0).alias("node_idx")).distinct()
     nodes = roots.join(body, ["doc_id", "node_idx"], "left").unionByName(body.where("node_idx > 0"), allowMissingColumns=True)
@@ -133,7 +134,7 @@ def tree_text(nodes: DataFrame, preview: int = 50) -> DataFrame:
 
 def leaf_texts(nodes: DataFrame) -> DataFrame:
     """What chunking starts from: leaf nodes with text and their paths (D7); where a document has none, its nodes with content."""
-    t = path_titles(nodes)
+    t = Cut(nodes.sparkSession)(path_titles(nodes), "paths")
     leaves = leaf_nodes(t).where(F.trim("text") != "")
     none = content_nodes(t).join(leaves.select("doc_id").distinct(), "doc_id", "left_anti")
     return leaves.unionByName(none)

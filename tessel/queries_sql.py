@@ -58,8 +58,8 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
         "SELECT c_custkey, CONCAT(UPPER(c_mktsegment), '-', SUBSTRING(c_name, 1, 4)) AS tag, LENGTH(c_name) AS bytes, CHAR_LENGTH(c_name) AS chars, REPLACE(c_name, 'C', 'c') AS r FROM customer",
         "SELECT c_custkey, CONCAT(UPPER(c_mktsegment), '-', SUBSTRING(c_name, 1, 4)) AS tag, strlen(c_name) AS bytes, length(c_name) AS chars, REPLACE(c_name, 'C', 'c') AS r FROM customer",
     ),
-    "sql_math_null_division": ("SELECT o_orderkey, o_totalprice / (o_custkey % 2) AS ratio, FLOOR(SQRT(o_totalprice)) AS root, MOD(o_orderkey, 7) AS m, ABS(0 - o_custkey) AS a FROM orders", "SELECT o_orderkey, o_totalprice / nullif(o_custkey % 2, 0) AS ratio, FLOOR(SQRT(o_totalprice)) AS root, o_orderkey % 7 AS m, ABS(0 - o_custkey) AS a FROM orders"),
-    "sql_json": ("SELECT event_type, SUM(CAST(get_json_object(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY event_type", "SELECT event_type, SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY event_type"),
+    "sql_math_null_division": ("SELECT o_orderkey, o_totalprice / (o_custkey % 2) AS ratio, FLOOR(SQRT(o_totalprice)) AS root, MOD(o_orderkey, 7) AS m, ABS(0 - o_custkey) AS a FROM orders", "SELECT o_orderkey, o_totalprice / nullif(o_custkey % 2, 0) AS ratio, CAST(FLOOR(SQRT(o_totalprice)) AS BIGINT) AS root, o_orderkey % 7 AS m, ABS(0 - o_custkey) AS a FROM orders"),
+    "sql_json": ("SELECT event_type, SUM(CAST(get_json_object(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY event_type", "SELECT event_type, CAST(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type"),
     "sql_stddev": ("SELECT l_returnflag, ROUND(STDDEV_POP(l_quantity), 6) AS sd, COUNT(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag", None),
 }
 #: Questions through the offline generator.
@@ -81,4 +81,4 @@ def _statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES = {k: _statement(v[0]) for k, v in STATEMENTS.items()} | {k: _statement(generate(v[0])) for k, v in QUESTIONS.items()}
 SQL = {k: v[1] or v[0] for k, v in STATEMENTS.items()} | {k: v[1] for k, v in QUESTIONS.items()}
-SQL["nl_average_success"] = "SELECT round(AVG(CAST(transaction_amount AS DOUBLE)), 6) AS value FROM transaction_flow WHERE status = 'SUCCESS'"
+SQL["nl_average_success"] = "SELECT CAST(round(AVG(CAST(transaction_amount AS DOUBLE)), 6) AS DECIMAL(19,6)) AS value FROM transaction_flow WHERE status = 'SUCCESS'"
