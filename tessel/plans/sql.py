@@ -139,7 +139,7 @@ class SqlGenerator(Protocol):
     def __call__(self, question: str, tables: list[str]) -> str: ...
 
 
-_AGGREGATES = (("average|mean|平均", "AVG"), ("total|sum|总额|总计|总和|合计", "SUM"), ("highest|largest|max|最高|最大", "MAX"), ("lowest|smallest|min|最低|最小", "MIN"), ("how many|count|number of|多少笔|几笔|笔数|数量", "COUNT"))
+_AGGREGATES = (("average|\\bmean\\b|平均", "AVG"), ("total|sum|总额|总计|总和|合计", "SUM"), ("highest|largest|max|最高|最大", "MAX"), ("lowest|smallest|min|最低|最小", "MIN"), ("how many|count|number of|多少笔|几笔|笔数|数量", "COUNT"))
 _GROUPS = (("merchant categor|商户类别", "m.merchant_category"), ("merchant type|商户类型", "m.merchant_type"), ("institution|机构", "i.institution_name"), ("account type|账户类型", "a.account_type"), ("month|每月|按月", "date_format(t.transaction_time, '%Y-%m')"), ("status|状态", "t.status"), ("type|交易类型", "t.transaction_type"))
 _JOINS = {"m": "JOIN merchant_info m ON t.merchant_id = m.merchant_id", "i": "JOIN institution_info i ON t.institution_id = i.institution_id", "a": "JOIN account_info a ON t.account_id = a.account_id"}
 
