@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,9 +38,12 @@ def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
-    """Percent of the total that each row has (A10)."""
-    w = Window.partitionBy(*[F.col(g) for g in groups]) if groups else Window.partitionBy(F.lit(0))
-    return df.withColumn("percent", F.round(100 * F.col(value) / F.sum(value).over(w), 2))
+    """Percent of the total, or of its group's total, that each row has (A10). Totals are aggregated and not windowed, so no task holds a whole group."""
+    if not groups:
+        total = df.agg(F.sum(value)).scalar()
+        return df.withColumn("percent", F.round(100 * F.col(value) / total, 2))
+    totals = df.groupBy(*groups).agg(F.sum(value).alias("_total"))
+    return df.join(totals, groups).withColumn("percent", F.round(100 * F.col(value) / F.col("_total"), 2)).drop("_total")
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

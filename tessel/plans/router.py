@@ -92,7 +92,7 @@ def call_statistics(log: DataFrame) -> DataFrame:
     per = log.groupBy("tool").agg(F.count(F.lit(1)).alias("n"))
     by = per.agg(F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tool", "n"))), lambda x: F.concat(x["tool"], F.lit("="), x["n"].cast("string"))), ";"), F.lit("")).alias("calls_by_tool"), F.count(F.lit(1)).alias("unique_tools"))
     all_ = log.agg(F.count(F.lit(1)).alias("total_calls"), F.count_if(F.col("type") == "local").alias("local_calls"), F.count_if(F.col("type") == "http").alias("http_calls"), F.coalesce(F.round(F.avg("duration"), 2), F.lit(0.0)).alias("average_duration"))
-    return all_.crossJoin(by)  # one row each
+    return all_.withColumns({c: by.select(c).scalar() for c in ("calls_by_tool", "unique_tools")})
 
 
 def batch_numbers(df: DataFrame, order: list[str], size: int) -> DataFrame:
