@@ -74,8 +74,8 @@ def climb(links: DataFrame, cut: Cut, weight: str = "w", sizes: bool = False, tr
         *([F.lit(1).cast("decimal(38,0)").alias("size")] if sizes else []),
         *([F.col(trail).alias("trail")] if trail else []),
     )
-    state = cut(state, "climb")
-    left = state.where("jump is not null").count()
+    walks = F.count_if(F.col("jump").isNotNull())
+    state, left = cut.counted(state, "climb", walks)
     while left:
         walking, ended = state.where("jump is not null"), state.where("jump is null")
         over = state.select(
@@ -91,10 +91,10 @@ def climb(links: DataFrame, cut: Cut, weight: str = "w", sizes: bool = False, tr
         if sizes:
             below = walking.groupBy("g", F.col("jump").alias("v")).agg(F.sum("size").alias("more"))
             new = new.join(below, ["g", "v"], "left").withColumn("size", (F.col("size") + F.coalesce("more", F.lit(0))).cast("decimal(38,0)")).drop("more")
-        new = cut(new, "climb")
+        before = left
+        new, left = cut.counted(new, "climb", walks)
         cut.free(state)
-        state, before = new, left
-        left = state.where("jump is not null").count()
+        state = new
         if left == before:
             break
     return state

@@ -12,7 +12,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _KEPT: list[tuple[SparkSession, str]] = []
 
@@ -56,6 +56,12 @@ class Cut:
         out._tessel_path = path
         return out
 
+    def counted(self, df: DataFrame, name: str, count: Column) -> tuple[DataFrame, int]:
+        """The written table and an aggregate of its rows, observed while they are written, without a job of its own."""
+        seen = Observation()
+        out = self(df.observe(seen, count.alias("n")), name)
+        return out, seen.get["n"]
+
     def free(self, *dfs: DataFrame) -> None:
         for df in dfs:
             path = self.paths.pop(id(df), None)
