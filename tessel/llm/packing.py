@@ -5,15 +5,18 @@ entries however many items there are, and the configuration linear program
 
     min sum x_p  subject to  sum_p a_pl x_p >= n_l for every length l
 
-is solved over it: multiplicative weights keep a price for every length, higher
-where coverage lags; each round a knapsack dynamic program prices out the
-configuration worth most, and the configuration enters with the largest step
-that keeps every coverage within a fixed share of its demand. Steps are
-rounded down to whole containers at once. Lengths with too few items for a
-whole step, and what rounding leaves, at most a number of items bounded by the
-capacity, are placed by best fit with the longest first. Every item then finds
-its container from its place within its length by binary search over the
-runs of the solution.
+is approximated over it, for all lengths at once: multiplicative weights keep a
+price for every length, higher where coverage lags; each round a bounded
+knapsack dynamic program, which takes no more of a length than is left, prices
+out the configuration worth most (first over the lengths that lag most, over all
+where these fill no container), and the configuration enters with the largest
+step that keeps every coverage within a fixed share of its demand. Steps are
+rounded down to whole containers at once, but to one at least, so rounding
+leaves nothing over and the rounds go on until every item is placed. A round
+covers at least half of STEP of some length's demand, or leaves less than half
+of what was left of it, so the rounds are at most about 20 times the capacity
+however many items there are. Every item then finds its container from its
+place within its length by binary search over the runs of the solution.
 """
 
 from __future__ import annotations
@@ -28,65 +31,72 @@ from pyspark.sql import functions as F
 from tessel.operators.ranking import ranks_in_groups
 from tessel.plans.lineage import Cut
 
-#: Share of a length's items that one step may cover, and how strongly prices follow coverage.
-STEP, ETA = 0.125, 4.0
-
-
-def price_out(lengths: np.ndarray, worth: np.ndarray, limit: np.ndarray, capacity: int) -> np.ndarray:
-    """Unbounded knapsack by dynamic programming over ascending ``lengths``; how many of each the best container holds, cut down to ``limit``."""
-    value, last = np.zeros(capacity + 1), np.full(capacity + 1, -1, dtype=np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best, k = value[c - 1], upto[c]
-        if k:
-            got = value[c - lengths[:k]] + worth[:k]
-            i = int(got.argmax())
-            if got[i] > best:
-                best, last[c] = got[i], i
-        value[c] = best
+#: Share of a length's items that one step may cover, and how strongly prices follow coverage and length. Weak prices: where they swing by more than a few per cent between rounds, containers are left unfilled for a dearer item.
+STEP, ETA, LONG = 0.125, 0.25, 0.3
+#: Lengths that a round prices first: the fewest, and the product with the capacity, as a small container holds few items and needs more lengths to choose from.
+FIRST, FIRST_TOKENS = 64, 131_072
+
+
+def price_out(lengths: np.ndarray, worth: np.ndarray, limit: np.ndarray, capacity: int, exact: bool = False) -> np.ndarray:
+    """Bounded knapsack by dynamic programming: how many of each of ``lengths``, at most ``limit``, the container worth most holds; with ``exact``, the one worth most of those filled to the last token, none if there is none. Multiples are split into powers of two."""
+    value, tmp = np.full(capacity + 1, -np.inf if exact else 0.0), np.empty(capacity + 1)
+    value[0] = 0.0
+    took: list[tuple[int, int, int, np.ndarray]] = []
+    for i, (k, w, n) in enumerate(zip(lengths.tolist(), worth.tolist(), np.minimum(limit, capacity // lengths).tolist(), strict=True)):
+        a = 1
+        while n > 0:
+            m = min(a, n)
+            n -= m
+            a *= 2
+            size = m * k
+            got = tmp[: capacity + 1 - size]
+            np.add(value[: capacity + 1 - size], m * w, out=got)
+            took.append((i, m, size, np.packbits(got > value[size:])))
+            np.maximum(value[size:], got, out=value[size:])
     held, c = np.zeros(len(lengths), dtype=np.int64), capacity
-    while c > 0:
-        i = last[c]
-        if i < 0:
-            c -= 1
-        else:
-            held[i] += 1
-            c -= lengths[i]
-    return np.minimum(held, limit)
+    if value[c] == -np.inf:
+        return held
+    for i, m, size, better in reversed(took):
+        if c >= size and better[(c - size) >> 3] >> (7 - ((c - size) & 7)) & 1:
+            held[i] += m
+            c -= size
+    return held
+
+
+def _worth(part: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """What a length that is ``part`` of the capacity is worth while ``share`` of its items is left."""
+    return part * np.exp(ETA * (share - share.mean()) + LONG * part)
 
 
 def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """(times, {length: how many}) for lengths 1..capacity, holding every item exactly once."""
-    left = {k: n for k, n in histogram.items() if n > 0}
+    """(times, {length: how many}) for lengths 1..capacity, holding every item exactly once; one entry a round."""
+    lengths = np.array(sorted(k for k, n in histogram.items() if n > 0), dtype=np.int64)
+    demand = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
+    rest = demand.copy()
     out: list[tuple[int, dict[int, int]]] = []
-    many = np.array(sorted(k for k, n in left.items() if n * STEP >= 2), dtype=np.int64)
-    if len(many):
-        demand = np.array([left[k] for k in many], dtype=np.int64)
-        rest = demand.copy()
-        # the scarce lengths need company from the plentiful ones, so these are not used up before them
-        scarce = sum(k * n for k, n in left.items() if n * STEP < 2)
-        spare = min(0.9, max(2 / STEP / demand.max(), 0.5 * scarce / float(many @ demand)))
-        floor = np.ceil(demand * spare).astype(np.int64)
-        while True:
-            open_ = np.flatnonzero(rest > floor)
-            if not len(open_):
-                break
-            share = rest[open_] / demand[open_]
-            worth = many[open_] / capacity * np.exp(ETA * (share - share.mean()))
-            held = price_out(many[open_], worth, rest[open_] - floor[open_], capacity)
-            used = np.flatnonzero(held)
-            if many[open_][used] @ held[used] < 0.97 * capacity:
-                break
-            room = rest[open_][used] - floor[open_][used]
-            times = int(max(1, min((room // held[used]).min(), (STEP * demand[open_][used] / held[used]).min())))
-            rest[open_[used]] -= times * held[used]
-            out.append((times, dict(zip(many[open_][used].tolist(), held[used].tolist(), strict=True))))
-        left |= dict(zip(many.tolist(), rest.tolist(), strict=True))
-    return out + [(1, c) for c in best_fit({k: n for k, n in left.items() if n}, capacity)]
+    first = max(FIRST, FIRST_TOKENS // capacity)
+    while len(open_ := np.flatnonzero(rest)):
+        share = rest[open_] / demand[open_]
+        held = np.zeros(0, dtype=np.int64)
+        if len(open_) > first:
+            # partial pricing: of each of first ranges of lengths the one that lags most, for a full container; if these have none, all lengths are priced
+            edges = np.arange(first + 1) * len(open_) // first
+            some = np.lexsort((-share, np.repeat(np.arange(first), np.diff(edges))))[edges[:-1]]
+            held = price_out(lengths[open_[some]], _worth(lengths[open_[some]] / capacity, share[some]), rest[open_[some]], capacity, exact=True)
+        if held.any():
+            open_ = open_[some]
+        else:
+            held = price_out(lengths[open_], _worth(lengths[open_] / capacity, share), rest[open_], capacity)
+        used = open_[held > 0]
+        held = held[held > 0]
+        times = int(max(1, min((rest[used] // held).min(), (STEP * demand[used] / held).min())))
+        rest[used] -= times * held
+        out.append((times, dict(zip(lengths[used].tolist(), held.tolist(), strict=True))))
+    return out
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[dict[int, int]]:
-    """Containers over a histogram: each takes the longest item that still fits, until none does."""
+    """Containers over a histogram: each takes the longest item that still fits, until none does. The yardstick for ``configurations``, which doesn't use it."""
     lengths = np.array(sorted(histogram), dtype=np.int64)
     count = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
     out: list[dict[int, int]] = []

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm.lexicon import Trie
 from tessel.llm.mixing import mix, solve
-from tessel.llm.packing import best_fit, configurations, pack
+from tessel.llm.packing import best_fit, configurations, pack, price_out
 from tessel.llm.splitting import LIMIT, fit_titles, pieces, split_oversized
 from tessel.llm.tokens import encoder, with_tokens
 
@@ -91,6 +91,33 @@ def test_packing_beats_first_fit_waste():
     assert sum(sum(c.values()) for c in best_fit({3: 5, 2: 1}, 7)) == 6
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 12), st.tuples(st.integers(1, 4), st.integers(1, 30)), min_size=1, max_size=5), st.integers(12, 30))
+def test_knapsack_keeps_to_what_is_left(items, capacity):
+    k = np.array(sorted(items))
+    n, w = (np.array([items[int(x)][i] for x in k]) for i in (0, 1))
+    held = price_out(k, w.astype(float), n, capacity)
+    best = {0: 0}
+    for x, (m, v) in items.items():
+        for _ in range(m):
+            best |= {s + x: max(b + v, best.get(s + x, 0)) for s, b in best.items() if s + x <= capacity}
+    assert (held <= n).all() and held @ k <= capacity and held @ w == max(best.values())
+
+
+def test_every_container_is_priced():
+    # few of the shortest, as in real texts: an unbounded knapsack fills up on these
+    rnd = random.Random(2)
+    hist = {1: 13, 2: 9}
+    for _ in range(5_000):
+        k = min(128, int(rnd.lognormvariate(3.5, 0.8)) + 1)
+        hist[k] = hist.get(k, 0) + 1
+    plain = len(best_fit(hist, 128))
+    assert sum(t for t, _ in configurations(hist, 128)) <= plain + 2
+    many = configurations({k: 1000 * n for k, n in hist.items()}, 128)
+    assert len(many) <= 20 * 128 and len(many) * 100 < sum(t for t, _ in many) <= 1000 * plain
+    assert sum(t * n for t, c in many for n in c.values()) == 1000 * sum(hist.values())
+
+
 def test_pack_cases(spark):
     rows = [(1, 0), (2, None), (3, 10), (4, 25), (5, 30), (6, 1)] + [(k, 4) for k in range(10, 60)]
     got = pack(spark.createDataFrame(rows, "id long, n int"), "id", "n", 10).collect()
