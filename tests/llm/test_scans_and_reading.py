@@ -35,6 +35,17 @@ def test_furniture_lines():
     assert furniture([], "t") == [] and furniture(["17"], "") == [()]
 
 
+def test_headers_by_repetition(spark):
+    # no title shows: file 9 has no heading; node 6 has the header misread, and a text recurs in every node
+    same = "keeps both records with the\nmerchant contract and the\ndaily report."
+    starts = ["The branch manager", "The settlement desk", "The merchant contract", "The daily report", "The manager", "The desk"]
+    ends = ["compares the report", "approved the request", "keeps the contract", "stays both", "compares and", "and the"]
+    items = [(9, k + 1, -1, f"{starts[k]}\n{'Notice of the institution' if k < 5 else 'Notice of the instifution'} {k}\n{ends[k]}\n{same}") for k in range(6)]
+    got = run(spark, items)
+    assert all(set(got[9, k].noises) == {"header", "page_no"} for k in range(1, 6)) and set(got[9, 6].noises) == {"header", "page_no", "misread"}
+    assert all(got[9, k + 1].text == f"{starts[k]} {ends[k]} {same}".replace("\n", " ") for k in range(6))
+
+
 def test_empty_vocabulary(spark):
     heads = spark.createDataFrame([], "file_id long, node_index int, text string")
     d = spark.createDataFrame([(1, 1, -1, "a b\nc d\ne f\ng h\nof text")], "file_id long, node_index int, chunk_index int, text string")
