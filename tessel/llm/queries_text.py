@@ -40,7 +40,7 @@ def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p2_pieces(spark, sf).where("n_pieces > 1 and piece = 0").select("file_id", "node_index", "chunk_index")
+    return p2_pieces(spark, sf).where("oversize and piece = 0").select("file_id", "node_index", "chunk_index")
 
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(13) || chr(12288)"

@@ -120,14 +120,16 @@ def fit_titles(titles: str, limit: int, body: int) -> str:
 
 
 def split_oversized(items: DataFrame, keys: list[str], body: str, titles: Column | None = None, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP) -> DataFrame:
-    """(keys..., piece, n_pieces, begin, body_begin, end, content): each item's pieces in order.
+    """(keys..., piece, n_pieces, begin, body_begin, end, content, oversize, titles_cut): each item's pieces in order.
 
     An item is its titles (if any), two line feeds and its body, white space
     around the body left out; one piece if within ``limit`` characters. A piece is the
     titles and body[begin:end], of which body[begin:body_begin] is the overlap
     with the piece before. Cut pieces share ``overlap`` characters at least and
     at most, fewer only if a whole piece is shorter. Titles too long for a
-    piece lose their outer levels. Null and empty bodies give one piece;
+    piece lose their outer levels; ``titles_cut`` is how many characters of them
+    the pieces lack. ``oversize`` tells whether the item as a whole exceeds
+    ``limit``, even if without these it fits one piece. Null and empty bodies give one piece;
     repeated rows are kept. Clashing names: columns other than keys and body are
     not passed on.
     """
@@ -139,21 +141,22 @@ def split_oversized(items: DataFrame, keys: list[str], body: str, titles: Column
     whole = F.when(F.col("_titles") == "", F.col("_body")).otherwise(F.concat("_titles", F.lit("\n\n"), F.col("_body")))
     base = base.withColumn("_size", F.length("_body") + F.when(F.col("_titles") == "", 0).otherwise(F.length("_titles") + 2))
     zero = F.lit(0)
-    small = base.where(F.col("_size") <= limit).select(*keys, zero.alias("piece"), F.lit(1).alias("n_pieces"), zero.alias("begin"), zero.alias("body_begin"), F.length("_body").alias("end"), whole.alias("content"))
-    schema = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in keys) + ", piece int, n_pieces int, begin int, body_begin int, end int, content string"
+    small = base.where(F.col("_size") <= limit).select(*keys, zero.alias("piece"), F.lit(1).alias("n_pieces"), zero.alias("begin"), zero.alias("body_begin"), F.length("_body").alias("end"), whole.alias("content"), F.lit(False).alias("oversize"), zero.alias("titles_cut"))
+    schema = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in keys) + ", piece int, n_pieces int, begin int, body_begin int, end int, content string, oversize boolean, titles_cut int"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, out = [], []
             for i, (t, h) in enumerate(zip(b.column("_body").to_pylist(), b.column("_titles").to_pylist(), strict=True)):
+                full = len(h) + 2 if h else 0
                 h = fit_titles(h, limit, LEAST_BODY)
                 found = pieces(t, limit - len(h), least, most)
                 for k, (x, y, z) in enumerate(found):
                     rows.append(i)
-                    out.append((k, len(found), x, y, z, h + t[x:z]))
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
+                    out.append((k, len(found), x, y, z, h + t[x:z], True, full - len(h)))
+            cols = list(zip(*out, strict=True)) if out else [()] * 8
             take = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([*[b.column(k).take(take) for k in keys], *[pa.array(c, pa.int32()) for c in cols[:5]], pa.array(cols[5], pa.string())], names=[*keys, "piece", "n_pieces", "begin", "body_begin", "end", "content"])
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(take) for k in keys], *[pa.array(c, pa.int32()) for c in cols[:5]], pa.array(cols[5], pa.string()), pa.array(cols[6], pa.bool_()), pa.array(cols[7], pa.int32())], names=[*keys, "piece", "n_pieces", "begin", "body_begin", "end", "content", "oversize", "titles_cut"])
 
     large = base.where(F.col("_size") > limit).select(*keys, "_body", "_titles").mapInArrow(cut, schema)
     return small.unionByName(large)

@@ -46,6 +46,17 @@ def test_split_cases(spark):
     assert fit_titles("a > b", 4096, 1024) == "a > b\n\n"
 
 
+def test_long_titles_are_oversize(spark, tmp_path):
+    from tessel.llm.queries_text import p2_found
+
+    spark.createDataFrame([(1, 0, "root", "r")], "file_id long, node_index int, node_type string, text string").write.parquet(f"{tmp_path}/document_node.parquet")
+    chunks = [(1, 1, 0, "b" * 700, ["T" * 2000, "U" * 1497]), (1, 2, 0, "b" * 594, ["T" * 2000, "U" * 1497])]  # 4202 and 4096 characters
+    spark.createDataFrame(chunks, "file_id long, source_node_index int, chunk_index int, content string, path_titles array<string>").write.parquet(f"{tmp_path}/text_chunk.parquet")
+    assert [tuple(r) for r in p2_found(spark, str(tmp_path)).collect()] == [(1, 1, 0)]
+    d = spark.createDataFrame([(1, "b" * 700, "T" * 2000 + " > " + "U" * 1497)], "k int, body string, titles string")
+    assert [(r.n_pieces, r.oversize, r.titles_cut) for r in split_oversized(d, ["k"], "body", F.col("titles")).collect()] == [(1, True, 2003)]
+
+
 def brute(words, read):
     def one(w):
         n, m = len(w), len(read)
