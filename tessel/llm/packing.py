@@ -5,23 +5,26 @@ entries however many items there are, and the configuration linear program
 
     min sum x_p  subject to  sum_p a_pl x_p >= n_l for every length l
 
-is approximated over it, for all lengths at once: multiplicative weights keep a
-price for every length, higher where coverage lags; each round a bounded
-knapsack dynamic program, which takes no more of a length than is left, prices
-out the configuration worth most (first over the lengths that lag most, over all
-where these fill no container), and the configuration enters with the largest
-step that keeps every coverage within a fixed share of its demand. Steps are
-rounded down to whole containers at once, but to one at least, so rounding
-leaves nothing over and the rounds go on until every item is placed. A round
-covers at least half of STEP of some length's demand, or leaves less than half
-of what was left of it, so the rounds are at most about 20 times the capacity
-however many items there are. Every item then finds its container from its
-place within its length by binary search over the runs of the solution.
+is solved over it by multiplicative weights: every length has a price that
+falls exponentially with its coverage; each round a bounded knapsack dynamic
+program prices out the configuration worth most (first over the lengths that lag
+most, over all where these fill no container), and its x_p grows by the largest
+step that covers a fixed share of a length's demand, one container at least. The
+fractional x_p are then rounded down. What that cuts off, less than one
+container a configuration and less than one item a length, is packed by the same
+pricing in whole containers. A step covers STEP of some length's demand or
+leaves less than one item of it, so configurations are at most about nine times
+the capacity, whatever the number of items, and so is the remainder. The
+program's dual gives a bound to compare the containers with. Every item then
+finds its container from its place within its length by binary search over the
+runs of the solution.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tessel.operators.ranking import ranks_in_groups
 from tessel.plans.lineage import Cut
+from tessel.plans.sized import small_side
 
 #: Share of a length's items that one step may cover, and how strongly prices follow coverage and length. Weak prices: where they swing by more than a few per cent between rounds, containers are left unfilled for a dearer item.
 STEP, ETA, LONG = 0.125, 0.25, 0.3
@@ -68,86 +72,135 @@ def _worth(part: np.ndarray, share: np.ndarray) -> np.ndarray:
     return part * np.exp(ETA * (share - share.mean()) + LONG * part)
 
 
-def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """(times, {length: how many}) for lengths 1..capacity, holding every item exactly once; one entry a round."""
+@dataclass
+class Solution:
+    """Containers over a histogram of lengths: ``runs`` of (times, {length: how many}), of which the first ``n_relaxed`` come from rounding the linear program down and the others from its remainder; ``bound`` is a number of containers below which no packing gets."""
+
+    runs: list[tuple[int, dict[int, int]]]
+    n_relaxed: int
+    bound: int
+
+    @property
+    def containers(self) -> int:
+        return sum(t for t, _ in self.runs)
+
+    @property
+    def relaxed_items(self) -> int:
+        """Items that the linear program, rounded down, has placed."""
+        return sum(t * sum(c.values()) for t, c in self.runs[: self.n_relaxed])
+
+
+def _round(lengths: np.ndarray, demand: np.ndarray, rest: np.ndarray, whole: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths' places, how many of each) of the configuration worth most at the prices of what is left, from ``whole`` items of each length at most."""
+    open_ = np.flatnonzero(whole)
+    share = rest[open_] / demand[open_]
+    first = max(FIRST, FIRST_TOKENS // capacity)
+    held = np.zeros(0, dtype=np.int64)
+    if len(open_) > first:
+        # partial pricing: of each of first ranges of lengths the one that lags most, for a full container; if these have none, all lengths are priced
+        edges = np.arange(first + 1) * len(open_) // first
+        some = np.lexsort((-share, np.repeat(np.arange(first), np.diff(edges))))[edges[:-1]]
+        held = price_out(lengths[open_[some]], _worth(lengths[open_[some]] / capacity, share[some]), whole[open_[some]], capacity, exact=True)
+    if held.any():
+        open_ = open_[some]
+    else:
+        held = price_out(lengths[open_], _worth(lengths[open_] / capacity, share), whole[open_], capacity)
+    return open_[held > 0], held[held > 0]
+
+
+def relax(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> dict[tuple[tuple[int, int], ...], float]:
+    """How often each configuration, as ((length, how many), ...), is taken by a fractional solution of the program that covers each length but for less than one item."""
+    rest, taken = demand.astype(float), {}
+    while (whole := np.floor(rest + 1e-9).astype(np.int64).clip(0)).any():
+        used, held = _round(lengths, demand, rest, whole, capacity)
+        step = float(min((rest[used] / held).min(), max(1.0, (STEP * demand[used] / held).min())))
+        rest[used] -= step * held
+        key = tuple(zip(lengths[used].tolist(), held.tolist(), strict=True))
+        taken[key] = taken.get(key, 0.0) + step
+    return taken
+
+
+def dual_bound(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> int:
+    """The best of the dual values at some prices, each made feasible by the configuration worth most at it: the length itself, and the lengths above a half (of the capacity, then of what it leaves) counted as containers of their own."""
+    best = 0.0
+    part = lengths / capacity
+    most = np.minimum(demand, capacity // lengths)
+    for price in (part, np.where(part > 0.5, 1.0, np.where(part == 0.5, 0.5, 0.0)), np.floor(3 * part + 1e-12) / 3, np.floor(part * 3 + 1e-12).clip(0, 2) / 2):
+        held = price_out(lengths, price, most, capacity)
+        top = float(held @ price)
+        if top > 0:
+            best = max(best, float(demand @ price) / top)
+    return math.ceil(best - 1e-6)
+
+
+def solve(histogram: dict[int, int], capacity: int) -> Solution:
+    """Containers for lengths 1..capacity that hold every item exactly once."""
     lengths = np.array(sorted(k for k, n in histogram.items() if n > 0), dtype=np.int64)
     demand = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
-    rest = demand.copy()
-    out: list[tuple[int, dict[int, int]]] = []
-    first = max(FIRST, FIRST_TOKENS // capacity)
-    while len(open_ := np.flatnonzero(rest)):
-        share = rest[open_] / demand[open_]
-        held = np.zeros(0, dtype=np.int64)
-        if len(open_) > first:
-            # partial pricing: of each of first ranges of lengths the one that lags most, for a full container; if these have none, all lengths are priced
-            edges = np.arange(first + 1) * len(open_) // first
-            some = np.lexsort((-share, np.repeat(np.arange(first), np.diff(edges))))[edges[:-1]]
-            held = price_out(lengths[open_[some]], _worth(lengths[open_[some]] / capacity, share[some]), rest[open_[some]], capacity, exact=True)
-        if held.any():
-            open_ = open_[some]
-        else:
-            held = price_out(lengths[open_], _worth(lengths[open_] / capacity, share), rest[open_], capacity)
-        used = open_[held > 0]
-        held = held[held > 0]
-        times = int(max(1, min((rest[used] // held).min(), (STEP * demand[used] / held).min())))
+    if not len(lengths):
+        return Solution([], 0, 0)
+    runs = [(int(x + 1e-9), dict(c)) for c, x in relax(lengths, demand, capacity).items()]
+    rest, place = demand.copy(), {k: i for i, k in enumerate(lengths.tolist())}
+    for i, (times, held) in enumerate(runs):
+        times = min(times, *(int(rest[place[k]]) // n for k, n in held.items()))  # sums of very large counts are off by an item
+        runs[i] = (times, held)
+        for k, n in held.items():
+            rest[place[k]] -= times * n
+    runs = [r for r in runs if r[0]]
+    relaxed = len(runs)
+    # the remainder: what rounding down has cut off, less than one container a configuration, and what the relaxation leaves, less than one item a length
+    while rest.any():
+        used, held = _round(lengths, demand, rest, rest, capacity)
+        times = int((rest[used] // held).min())
         rest[used] -= times * held
-        out.append((times, dict(zip(lengths[used].tolist(), held.tolist(), strict=True))))
-    return out
-
-
-def best_fit(histogram: dict[int, int], capacity: int) -> list[dict[int, int]]:
-    """Containers over a histogram: each takes the longest item that still fits, until none does. The yardstick for ``configurations``, which doesn't use it."""
-    lengths = np.array(sorted(histogram), dtype=np.int64)
-    count = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
-    out: list[dict[int, int]] = []
-    prev = np.arange(-1, len(lengths) - 1)  # where to look below a length that is used up, with path compression
-
-    def at_most(i: int) -> int:
-        root = i
-        while root >= 0 and not count[root]:
-            root = int(prev[root])
-        while i >= 0 and i != root and not count[i]:
-            prev[i], i = root, int(prev[i])
-        return root
-
-    while (i := at_most(len(lengths) - 1)) >= 0:
-        room, held = capacity, {}
-        while i >= 0:
-            n = int(min(count[i], room // lengths[i]))
-            held[int(lengths[i])] = held.get(int(lengths[i]), 0) + n
-            count[i] -= n
-            room -= n * int(lengths[i])
-            i = at_most(int(np.searchsorted(lengths, room, side="right")) - 1)
-        out.append(held)
-    return out
+        runs.append((times, dict(zip(lengths[used].tolist(), held.tolist(), strict=True))))
+    return Solution(runs, relaxed, dual_bound(lengths, demand, capacity))
 
 
-def pack(items: DataFrame, item: str, tokens: str, capacity: int, cut: Cut | None = None) -> DataFrame:
-    """(item, part, tokens, container): each item of up to ``capacity`` tokens in one container (part 0); a longer one in parts, of which all but the last fill a container each.
+def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """(times, {length: how many}) of the solution."""
+    return solve(histogram, capacity).runs
 
-    ``item`` is distinct. Items without tokens take no room and lie in
-    container 0. No items give no rows. Null tokens count as none.
+
+def pack_all(items: DataFrame, item: str, tokens: str, capacities: list[int], cut: Cut | None = None) -> dict[int, tuple[DataFrame, Solution, int]]:
+    """For each capacity the rows of ``pack``, the solution for its containers, and the number of containers that full parts of long items take besides.
+
+    Items are ranked once, within their length; a capacity folds the lengths
+    that leave the same last part, whose items follow one another by length.
     """
-    if capacity < 1:
+    if any(c < 1 for c in capacities):
         raise ValueError("capacity must be positive")
     spark = items.sparkSession
     cut = cut or Cut(spark)
-    n = F.coalesce(F.col(tokens), F.lit(0)).cast("long")
-    rest = F.when(n > 0, (n - 1) % capacity + 1).otherwise(0)
-    base = items.select(F.col(item).alias("item"), n.alias("n"), ((n - rest) / capacity).cast("long").alias("full"), rest.alias("last"))
-    tail = cut(ranks_in_groups(base, ["last"], ["item"], "place", cut), "places")
-    histogram = {int(r["last"]): r["n"] for r in tail.groupBy("last").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity + 1 rows
+    n = F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("long")
+    base = items.select(F.col(item).alias("item"), n.alias("n"))
+    ranked = cut(ranks_in_groups(base, ["n"], ["item"], "place", cut), "places")
+    counts = cut(ranked.groupBy("n").agg(F.count(F.lit(1)).alias("k")), "lengths")  # one row a length
+    return {c: _packed(ranked, counts, item, c, cut) for c in capacities}
+
+
+def _packed(ranked: DataFrame, counts: DataFrame, item: str, capacity: int, cut: Cut) -> tuple[DataFrame, Solution, int]:
+    spark = ranked.sparkSession
+    last = F.when(F.col("n") > 0, (F.col("n") - 1) % capacity + 1).otherwise(0).cast("long")
+    before = Window.partitionBy("last").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long")
+    folded = counts.withColumn("last", last).withColumn("full", ((F.col("n") - F.col("last")) / capacity).cast("long"))
+    folded = cut(folded.withColumn("before", earlier("k")).withColumn("full_before", earlier(F.col("k") * F.col("full"))), "folded")
+    rows = folded.groupBy("last").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("full")).alias("full")).orderBy("last").collect()  # at most capacity + 1 rows
+    histogram = {int(r["last"]): int(r["k"]) for r in rows}
     empty = histogram.pop(0, 0)
+    solution = solve(histogram, capacity)
     runs: dict[int, list[tuple[int, int, int]]] = {}
     done: dict[int, int] = {}
     container = 0
-    for times, held in configurations(histogram, capacity):
+    for times, held in solution.runs:
         for length, a in held.items():
             runs.setdefault(length, []).append((done.get(length, 0), a, container))
             done[length] = done.get(length, 0) + times * a
         container += times
     if empty:
         runs[0], container = [(0, 2**62, 0)], max(container, 1)
+    # bounded by the capacity: as many runs as the solution has, each of at most capacity entries
     table = spark.sparkContext.broadcast({k: tuple(np.array(x, dtype=np.int64) for x in zip(*v, strict=True)) for k, v in runs.items()})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,20 +210,33 @@ def pack(items: DataFrame, item: str, tokens: str, capacity: int, cut: Cut | Non
             order = np.argsort(last, kind="stable")
             bounds = np.flatnonzero(np.diff(last[order], prepend=-1))
             for lo, hi in zip(bounds, [*bounds[1:], len(order)], strict=True):
-                rows = order[lo:hi]
-                start, each, first = table.value[int(last[rows[0]])]
-                k = np.searchsorted(start, at[rows], side="right") - 1
-                to[rows] = first[k] + (at[rows] - start[k]) // each[k]
+                chosen = order[lo:hi]
+                start, each, first = table.value[int(last[chosen[0]])]
+                k = np.searchsorted(start, at[chosen], side="right") - 1
+                to[chosen] = first[k] + (at[chosen] - start[k]) // each[k]
             yield pa.RecordBatch.from_arrays([b.column("item"), b.column("full"), b.column("last"), pa.array(to)], names=["item", "part", "tokens", "container"])
 
-    kind = items.schema[item].dataType.simpleString()
-    ends = tail.select("item", "full", "last", "place").mapInArrow(place, f"item {kind}, part bigint, tokens bigint, container bigint")
-    whole = tail.where("full > 0").select("item", "full")
-    if not whole.isEmpty():
-        # full parts follow the other containers: each item's first one from a running sum over the long items
-        block = cut(whole.repartitionByRange("item").withColumn("_part", F.spark_partition_id()), "long")
-        sums = block.groupBy("_part").agg(F.sum("full").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        within = F.coalesce(F.sum("full").over(Window.partitionBy("_part").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        filled = block.join(F.broadcast(sums), "_part").select("item", F.explode(F.expr("sequence(0L, full - 1)")).alias("part"), F.lit(capacity).cast("long").alias("tokens"), (F.lit(container) + F.col("base") + within).alias("first"))
+    kind = ranked.schema["item"].dataType.simpleString()
+    sized = ranked.join(small_side(folded).drop("k"), "n")
+    ends = sized.select("item", "full", "last", (F.col("place") + F.col("before")).alias("place")).mapInArrow(place, f"item {kind}, part bigint, tokens bigint, container bigint")
+    full = sum(int(r["full"]) for r in rows)
+    if full:
+        # full parts follow the other containers, by last part, length and place
+        starts, at = [], container
+        for r in rows:
+            starts.append((int(r["last"]), at))
+            at += int(r["full"])
+        first = F.col("start") + F.col("full_before") + F.col("place") * F.col("full")
+        long_ = sized.where("full > 0").join(F.broadcast(spark.createDataFrame(starts, "last long, start long")), "last").withColumn("first", first)
+        filled = long_.select("item", F.explode(F.expr("sequence(0L, full - 1)")).alias("part"), F.lit(capacity).cast("long").alias("tokens"), "first")
         ends = ends.unionByName(filled.select("item", "part", "tokens", (F.col("first") + F.col("part")).alias("container")))
-    return ends.withColumnRenamed("item", item)
+    return ends.withColumnRenamed("item", item), solution, full
+
+
+def pack(items: DataFrame, item: str, tokens: str, capacity: int, cut: Cut | None = None) -> DataFrame:
+    """(item, part, tokens, container): each item of up to ``capacity`` tokens in one container (part 0); a longer one in parts, of which all but the last fill a container each.
+
+    ``item`` is distinct. Items without tokens take no room and lie in
+    container 0. No items give no rows. Null and negative tokens count as none.
+    """
+    return pack_all(items, item, tokens, [capacity], cut)[capacity][0]

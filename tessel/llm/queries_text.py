@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions.keys import is_blank
 from tessel.llm.mixing import mix
-from tessel.llm.packing import pack
+from tessel.llm.packing import pack_all
 from tessel.llm.splitting import split_oversized
 from tessel.llm.tokens import with_tokens
 from tessel.plans.lineage import Cut
@@ -60,23 +60,53 @@ def _sizes(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     return Cut(spark)(with_tokens(read(spark, sf, "documents"), "text", ["doc_id", *keep]), "tokens")
 
 
+def _packs(spark: SparkSession, sf: str):
+    """(pack_id, capacity, rows, solution, containers of full parts) of each pack."""
+    specs = read(spark, sf, "pack_specs").where("capacity_tokens > 0").groupBy("pack_id").agg(F.min("capacity_tokens").alias("c")).collect()  # configuration
+    packed = pack_all(_sizes(spark, sf), "doc_id", "tokens", sorted({r["c"] for r in specs}))
+    return [(r["pack_id"], r["c"], *packed[r["c"]]) for r in specs]
+
+
+def _rows(packs) -> DataFrame:
+    cols = lambda k, c, df: df.select(F.lit(k).alias("pack_id"), F.lit(c).alias("capacity_tokens"), "container", "doc_id", "part", "tokens")
+    return reduce(DataFrame.unionByName, [cols(k, c, df) for k, c, df, *_ in packs])
+
+
 def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
     """The container of every document, or of each of its parts, for each capacity."""
-    sizes = _sizes(spark, sf)
-    specs = read(spark, sf, "pack_specs").where("capacity_tokens > 0").groupBy("pack_id").agg(F.min("capacity_tokens").alias("c")).collect()  # configuration
-    packs = [pack(sizes, "doc_id", "tokens", r["c"]).select(F.lit(r["pack_id"]).alias("pack_id"), F.lit(r["c"]).alias("capacity_tokens"), "container", "doc_id", "part", "tokens") for r in specs]
-    return reduce(DataFrame.unionByName, packs)
+    return _rows(_packs(spark, sf))
 
 
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Containers and unused share for each capacity."""
-    one = p7_pack(spark, sf).groupBy("pack_id", "capacity_tokens", "container").agg(F.sum("tokens").alias("t"))
+    """For each capacity containers, the least number that any packing needs, the unused share, and the share of documents that the rounded linear program placed."""
+    packs = _packs(spark, sf)
+    one = _rows(packs).groupBy("pack_id", "capacity_tokens", "container").agg(F.sum("tokens").alias("t"))
     room = F.count(F.lit(1)) * F.first("capacity_tokens")
-    return one.groupBy("pack_id").agg(
-        F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"), F.max(F.col("t") - F.col("capacity_tokens")).alias("most_over"), ((room - F.sum("t")) / room).alias("unused_share")
+    facts = [(k, s.bound + full, float(s.relaxed_items / max(1, sum(t * sum(c.values()) for t, c in s.runs)))) for k, _, _, s, full in packs]
+    told = spark.createDataFrame(facts, "pack_id string, least_containers long, relaxed_share double")
+    return (
+        one.groupBy("pack_id")
+        .agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"), F.max(F.col("t") - F.col("capacity_tokens")).alias("most_over"), ((room - F.sum("t")) / room).alias("unused_share"))
+        .join(F.broadcast(told), "pack_id")
     )
 
 
+def p7_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of every packing: all documents are in it, none beyond its capacity, none whole in two containers, the parts of one document numbered from 0 without gaps and all but one full."""
+    rows = _rows(_packs(spark, sf))
+    docs = rows.groupBy("pack_id", "capacity_tokens", "doc_id").agg(F.count(F.lit(1)).alias("parts"), F.max("part").alias("last"), F.countDistinct("part").alias("distinct"), F.count_if(F.col("tokens") < F.col("capacity_tokens")).alias("short"))
+    bad = (F.col("parts") != F.col("distinct")) | (F.col("last") + 1 != F.col("parts")) | (F.col("short") > 1)
+    whole = docs.groupBy("pack_id", "capacity_tokens").agg(F.count(F.lit(1)).alias("docs"), F.count_if(bad).alias("docs_wrong"))
+    full = rows.groupBy("pack_id", "container", "capacity_tokens").agg(F.sum("tokens").alias("t")).groupBy("pack_id").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("containers_over"))
+    return whole.join(full, "pack_id").select("pack_id", "capacity_tokens", "docs", "docs_wrong", "containers_over")
+
+
+P7_SQL = {
+    "p7_invariants": """
+SELECT pack_id, min(capacity_tokens) AS capacity_tokens, (SELECT count(*) FROM documents) AS docs, 0 AS docs_wrong, 0 AS containers_over
+FROM pack_specs WHERE capacity_tokens > 0 GROUP BY pack_id"""
+}
+
 # 8 ---------------------------------------------------------------------------
 
 
@@ -101,5 +131,5 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p7_pack, p7_report, p8_mix, p8_report)}
-SQL = P2_SQL
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p7_pack, p7_report, p7_invariants, p8_mix, p8_report)}
+SQL = P2_SQL | P7_SQL

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tessel.llm.lexicon import Trie
 from tessel.llm.mixing import mix, solve
-from tessel.llm.packing import best_fit, configurations, pack, price_out
+from tessel.llm.packing import configurations, dual_bound, pack, pack_all, price_out
+from tessel.llm.packing import solve as pack_solve
 from tessel.llm.splitting import LIMIT, fit_titles, pieces, split_oversized
 from tessel.llm.tokens import encoder, with_tokens
 
@@ -78,6 +79,33 @@ def test_automaton_finds_every_candidate(words, read):
     assert {w for w, *_ in Trie(words).within_one(read)} == brute(words, read)
 
 
+def best_fit(histogram: dict[int, int], capacity: int) -> list[dict[int, int]]:
+    """Containers over a histogram: each takes the longest item that still fits, until none does. The yardstick for the operator, which doesn't use it."""
+    lengths = np.array(sorted(histogram), dtype=np.int64)
+    count = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
+    out: list[dict[int, int]] = []
+    prev = np.arange(-1, len(lengths) - 1)  # where to look below a length that is used up, with path compression
+
+    def at_most(i: int) -> int:
+        root = i
+        while root >= 0 and not count[root]:
+            root = int(prev[root])
+        while i >= 0 and i != root and not count[i]:
+            prev[i], i = root, int(prev[i])
+        return root
+
+    while (i := at_most(len(lengths) - 1)) >= 0:
+        room, held = capacity, {}
+        while i >= 0:
+            n = int(min(count[i], room // lengths[i]))
+            held[int(lengths[i])] = held.get(int(lengths[i]), 0) + n
+            count[i] -= n
+            room -= n * int(lengths[i])
+            i = at_most(int(np.searchsorted(lengths, room, side="right")) - 1)
+        out.append(held)
+    return out
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 200), max_size=20))
 def test_configurations_hold_every_item_once(hist):
@@ -88,7 +116,8 @@ def test_configurations_hold_every_item_once(hist):
         for k, n in c.items():
             held[k] = held.get(k, 0) + times * n
     assert held == hist
-    assert sum(t for t, _ in got) <= 1.25 * -(-sum(k * n for k, n in hist.items()) // 64) + max(2, sum(n for k, n in hist.items() if k > 32))
+    # not the volume alone: 37 items of 22 need 19 containers of 64
+    assert sum(t for t, _ in got) <= 1.1 * len(best_fit(hist, 64)) + 2
 
 
 def test_packing_beats_first_fit_waste():
@@ -129,6 +158,38 @@ def test_every_container_is_priced():
     assert sum(t * n for t, c in many for n in c.values()) == 1000 * sum(hist.values())
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 20), st.integers(1, 4), min_size=1, max_size=6))
+def test_dual_bound_is_below_every_packing(hist):
+    k = np.array(sorted(hist))
+    n = np.array([hist[int(x)] for x in k])
+    s = pack_solve(hist, 20)
+    assert -(-int(k @ n) // 20) <= dual_bound(k, n, 20) == s.bound <= min(s.containers, len(best_fit(hist, 20)))
+
+
+def test_driver_state_is_bounded():
+    s = pack_solve({300: 10**9}, 512)
+    assert len(s.runs) <= 3 and s.containers == s.bound == 10**9
+    big = pack_solve({k: 10**12 + k for k in range(1, 100)}, 128)
+    assert len(big.runs) <= 20 * 128 and sum(t * n for t, c in big.runs for n in c.values()) == sum(10**12 + k for k in range(1, 100))
+    assert all(t > 0 for t, _ in big.runs) and pack_solve({}, 5).runs == []
+
+
+@pytest.mark.parametrize("scale", ["0.01", "0.1"])
+def test_linear_program_places_most_of_real_texts(spark, scale):
+    docs = spark.read.parquet(f"/root/testdata/sf{scale}/documents.parquet")
+    sizes = with_tokens(docs, "text", ["doc_id"]).cache()
+    for c, (rows, s, full) in pack_all(sizes, "doc_id", "tokens", [512, 2048, 8192]).items():
+        hist: dict = {}
+        for r in sizes.where("tokens > 0").collect():
+            k = (r.tokens - 1) % c + 1
+            hist[k] = hist.get(k, 0) + 1
+        assert s.relaxed_items > 0.8 * sum(hist.values()) and s.n_relaxed > 0
+        assert s.containers <= len(best_fit(hist, c)) and s.containers <= 1.001 * s.bound + 0.5
+        assert rows.select("container").distinct().count() == s.containers + full
+    sizes.unpersist()
+
+
 def test_pack_cases(spark):
     rows = [(1, 0), (2, None), (3, 10), (4, 25), (5, 30), (6, 1)] + [(k, 4) for k in range(10, 60)]
     got = pack(spark.createDataFrame(rows, "id long, n int"), "id", "n", 10).collect()
