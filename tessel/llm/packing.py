@@ -15,7 +15,9 @@ container a configuration and less than one item a length, is packed by the same
 pricing in whole containers. A step covers STEP of some length's demand or
 leaves less than one item of it, so configurations are at most about nine times
 the capacity, whatever the number of items, and so is the remainder. The
-program's dual gives a bound to compare the containers with. Every item then
+program's dual gives a bound to compare the containers with; while they are not
+close to it, prices grow by the room that lengths were left with, and the program
+is solved again from these, the best solution being kept. Every item then
 finds its container from its place within its length by binary search over the
 runs of the solution.
 """
@@ -35,8 +37,10 @@ from tessel.operators.ranking import ranks_in_groups
 from tessel.plans.lineage import Cut
 from tessel.plans.sized import small_side
 
-#: Share of a length's items that one step may cover, and how strongly prices follow coverage and length. Weak prices: where they swing by more than a few per cent between rounds, containers are left unfilled for a dearer item.
+#: Share of a length's items that one step may cover, and how strongly prices follow coverage and, at first, length. Weak prices: where they swing by more than a few per cent between rounds, containers are left unfilled for a dearer item.
 STEP, ETA, LONG = 0.125, 0.25, 0.3
+#: Passes at most, how strongly prices follow the room that a length was packed with in the pass before, and the gap to the bound (with less than one container) at which no other pass is made.
+PASSES, PULL, GAP = 8, 0.5, 0.001
 #: Lengths that a round prices first: the fewest, and the product with the capacity, as a small container holds few items and needs more lengths to choose from.
 FIRST, FIRST_TOKENS = 64, 131_072
 
@@ -67,9 +71,9 @@ def price_out(lengths: np.ndarray, worth: np.ndarray, limit: np.ndarray, capacit
     return held
 
 
-def _worth(part: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """What a length that is ``part`` of the capacity is worth while ``share`` of its items is left."""
-    return part * np.exp(ETA * (share - share.mean()) + LONG * part)
+def _worth(price: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """What lengths of a ``price`` are worth while ``share`` of their items is left."""
+    return price * np.exp(ETA * (share - share.mean()))
 
 
 @dataclass
@@ -90,7 +94,7 @@ class Solution:
         return sum(t * sum(c.values()) for t, c in self.runs[: self.n_relaxed])
 
 
-def _round(lengths: np.ndarray, demand: np.ndarray, rest: np.ndarray, whole: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def _round(lengths: np.ndarray, price: np.ndarray, demand: np.ndarray, rest: np.ndarray, whole: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(lengths' places, how many of each) of the configuration worth most at the prices of what is left, from ``whole`` items of each length at most."""
     open_ = np.flatnonzero(whole)
     share = rest[open_] / demand[open_]
@@ -100,19 +104,19 @@ def _round(lengths: np.ndarray, demand: np.ndarray, rest: np.ndarray, whole: np.
         # partial pricing: of each of first ranges of lengths the one that lags most, for a full container; if these have none, all lengths are priced
         edges = np.arange(first + 1) * len(open_) // first
         some = np.lexsort((-share, np.repeat(np.arange(first), np.diff(edges))))[edges[:-1]]
-        held = price_out(lengths[open_[some]], _worth(lengths[open_[some]] / capacity, share[some]), whole[open_[some]], capacity, exact=True)
+        held = price_out(lengths[open_[some]], _worth(price[open_[some]], share[some]), whole[open_[some]], capacity, exact=True)
     if held.any():
         open_ = open_[some]
     else:
-        held = price_out(lengths[open_], _worth(lengths[open_] / capacity, share), whole[open_], capacity)
+        held = price_out(lengths[open_], _worth(price[open_], share), whole[open_], capacity)
     return open_[held > 0], held[held > 0]
 
 
-def relax(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> dict[tuple[tuple[int, int], ...], float]:
+def relax(lengths: np.ndarray, price: np.ndarray, demand: np.ndarray, capacity: int) -> dict[tuple[tuple[int, int], ...], float]:
     """How often each configuration, as ((length, how many), ...), is taken by a fractional solution of the program that covers each length but for less than one item."""
     rest, taken = demand.astype(float), {}
     while (whole := np.floor(rest + 1e-9).astype(np.int64).clip(0)).any():
-        used, held = _round(lengths, demand, rest, whole, capacity)
+        used, held = _round(lengths, price, demand, rest, whole, capacity)
         step = float(min((rest[used] / held).min(), max(1.0, (STEP * demand[used] / held).min())))
         rest[used] -= step * held
         key = tuple(zip(lengths[used].tolist(), held.tolist(), strict=True))
@@ -120,17 +124,37 @@ def relax(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> dict[tuple[
     return taken
 
 
-def dual_bound(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> int:
-    """The best of the dual values at some prices, each made feasible by the configuration worth most at it: the length itself, and the lengths above a half (of the capacity, then of what it leaves) counted as containers of their own."""
-    best = 0.0
+def dual_value(lengths: np.ndarray, price: np.ndarray, demand: np.ndarray, capacity: int) -> float:
+    """The dual's value at prices made feasible by the configuration worth most at them."""
+    top = float(price_out(lengths, price, np.minimum(demand, capacity // lengths), capacity) @ price)
+    return float(demand @ price) / top if top > 0 else 0.0
+
+
+def dual_bound(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> float:
+    """The best dual value at some fixed prices: the length, lengths above a half of the capacity as containers of their own, and thirds."""
     part = lengths / capacity
-    most = np.minimum(demand, capacity // lengths)
-    for price in (part, np.where(part > 0.5, 1.0, np.where(part == 0.5, 0.5, 0.0)), np.floor(3 * part + 1e-12) / 3, np.floor(part * 3 + 1e-12).clip(0, 2) / 2):
-        held = price_out(lengths, price, most, capacity)
-        top = float(held @ price)
-        if top > 0:
-            best = max(best, float(demand @ price) / top)
-    return math.ceil(best - 1e-6)
+    fixed = (part, np.where(part > 0.5, 1.0, np.where(part == 0.5, 0.5, 0.0)), np.floor(3 * part + 1e-12) / 3, np.floor(3 * part + 1e-12).clip(0, 2) / 2)
+    return max(dual_value(lengths, price, demand, capacity) for price in fixed)
+
+
+def _pass(lengths: np.ndarray, price: np.ndarray, demand: np.ndarray, capacity: int) -> Solution:
+    """The program solved from starting prices, and rounded."""
+    runs, rest = [], demand.copy()
+    place = {k: i for i, k in enumerate(lengths.tolist())}
+    for held, x in relax(lengths, price, demand, capacity).items():
+        times = min(int(x + 1e-9), *(int(rest[place[k]]) // n for k, n in held))  # sums of very large counts are off by an item
+        if times:
+            runs.append((times, dict(held)))
+            for k, n in held:
+                rest[place[k]] -= times * n
+    relaxed = len(runs)
+    # the remainder: what rounding down has cut off, less than one container a configuration, and what the relaxation leaves, less than one item a length
+    while rest.any():
+        used, held = _round(lengths, price, demand, rest, rest, capacity)
+        times = int((rest[used] // held).min())
+        rest[used] -= times * held
+        runs.append((times, dict(zip(lengths[used].tolist(), held.tolist(), strict=True))))
+    return Solution(runs, relaxed, 0)
 
 
 def solve(histogram: dict[int, int], capacity: int) -> Solution:
@@ -139,22 +163,24 @@ def solve(histogram: dict[int, int], capacity: int) -> Solution:
     demand = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
     if not len(lengths):
         return Solution([], 0, 0)
-    runs = [(int(x + 1e-9), dict(c)) for c, x in relax(lengths, demand, capacity).items()]
-    rest, place = demand.copy(), {k: i for i, k in enumerate(lengths.tolist())}
-    for i, (times, held) in enumerate(runs):
-        times = min(times, *(int(rest[place[k]]) // n for k, n in held.items()))  # sums of very large counts are off by an item
-        runs[i] = (times, held)
-        for k, n in held.items():
-            rest[place[k]] -= times * n
-    runs = [r for r in runs if r[0]]
-    relaxed = len(runs)
-    # the remainder: what rounding down has cut off, less than one container a configuration, and what the relaxation leaves, less than one item a length
-    while rest.any():
-        used, held = _round(lengths, demand, rest, rest, capacity)
-        times = int((rest[used] // held).min())
-        rest[used] -= times * held
-        runs.append((times, dict(zip(lengths[used].tolist(), held.tolist(), strict=True))))
-    return Solution(runs, relaxed, dual_bound(lengths, demand, capacity))
+    place = {k: i for i, k in enumerate(lengths.tolist())}
+    price = lengths / capacity * np.exp(LONG * lengths / capacity)
+    best, bound = None, dual_bound(lengths, demand, capacity)
+    for _ in range(PASSES):
+        got = _pass(lengths, price, demand, capacity)
+        if best is None or got.containers < best.containers:
+            best = got
+        bound = max(bound, dual_value(lengths, price, demand, capacity))
+        least = math.ceil(bound - 1e-6)
+        if best.containers <= least + max(0.5, GAP * least):
+            break
+        lost = np.zeros(len(lengths))
+        for times, held in got.runs:
+            room = 1 - sum(k * n for k, n in held.items()) / capacity
+            for k, n in held.items():
+                lost[place[k]] += times * n * room
+        price = price * np.exp(PULL * lost / demand)
+    return Solution(best.runs, best.n_relaxed, math.ceil(bound - 1e-6))
 
 
 def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:

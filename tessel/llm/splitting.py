@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 4096, (200, 400)
-#: Room that a piece keeps for its body however long the titles are.
+#: Room that a piece keeps for its body, or the body's length if that is less; titles that leave less are cut into pieces of their own.
 LEAST_BODY = 1024
 #: Boundaries by strength, a cut falling behind each match.
 BOUNDARIES = (
@@ -112,24 +112,25 @@ def pieces(text: str, room: int, least: int, most: int) -> list[tuple[int, int,
 
 
 def fit_titles(titles: str, limit: int, body: int) -> str:
-    """The titles with two line feeds behind, outer ones and then characters left out until ``body`` characters of room remain."""
+    """The titles with two line feeds behind, outer ones left out until ``body`` characters of room remain; none of a title that is too long by itself."""
     room = limit - min(body, limit // 2) - 2
     while len(titles) > room:
-        titles = titles.split(" > ", 1)[1] if " > " in titles else titles[:room]
+        titles = titles.split(" > ", 1)[1] if " > " in titles else ""
     return titles + "\n\n" if titles else ""
 
 
 def split_oversized(items: DataFrame, keys: list[str], body: str, titles: Column | None = None, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP) -> DataFrame:
-    """(keys..., piece, n_pieces, begin, body_begin, end, content, oversize, titles_cut): each item's pieces in order.
+    """(keys..., piece, n_pieces, begin, body_begin, end, content, oversize, titles_cut, of_titles): each item's pieces in order.
 
     An item is its titles (if any), two line feeds and its body, white space
     around the body left out; one piece if within ``limit`` characters. A piece is the
     titles and body[begin:end], of which body[begin:body_begin] is the overlap
     with the piece before. Cut pieces share ``overlap`` characters at least and
-    at most, fewer only if a whole piece is shorter. Titles too long for a
-    piece lose their outer levels; ``titles_cut`` is how many characters of them
-    the pieces lack. ``oversize`` tells whether the item as a whole exceeds
-    ``limit``, even if without these it fits one piece. Null and empty bodies give one piece;
+    at most, fewer only if a whole piece is shorter. Titles too long to stand in
+    every piece come first, in pieces of their own (``of_titles``, their offsets being those in the titles);
+    the pieces of the body then carry the inner levels that fit, and ``titles_cut`` is how many characters of the
+    titles they lack. ``oversize`` tells whether the item as a whole exceeds
+    ``limit``; such an item has two pieces at least. Null and empty bodies give one piece;
     repeated rows are kept. Clashing names: columns other than keys and body are
     not passed on.
     """
@@ -141,22 +142,23 @@ def split_oversized(items: DataFrame, keys: list[str], body: str, titles: Column
     whole = F.when(F.col("_titles") == "", F.col("_body")).otherwise(F.concat("_titles", F.lit("\n\n"), F.col("_body")))
     base = base.withColumn("_size", F.length("_body") + F.when(F.col("_titles") == "", 0).otherwise(F.length("_titles") + 2))
     zero = F.lit(0)
-    small = base.where(F.col("_size") <= limit).select(*keys, zero.alias("piece"), F.lit(1).alias("n_pieces"), zero.alias("begin"), zero.alias("body_begin"), F.length("_body").alias("end"), whole.alias("content"), F.lit(False).alias("oversize"), zero.alias("titles_cut"))
-    schema = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in keys) + ", piece int, n_pieces int, begin int, body_begin int, end int, content string, oversize boolean, titles_cut int"
+    small = base.where(F.col("_size") <= limit).select(*keys, zero.alias("piece"), F.lit(1).alias("n_pieces"), zero.alias("begin"), zero.alias("body_begin"), F.length("_body").alias("end"), whole.alias("content"), F.lit(False).alias("oversize"), zero.alias("titles_cut"), F.lit(False).alias("of_titles"))
+    schema = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in keys) + ", piece int, n_pieces int, begin int, body_begin int, end int, content string, oversize boolean, titles_cut int, of_titles boolean"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, out = [], []
             for i, (t, h) in enumerate(zip(b.column("_body").to_pylist(), b.column("_titles").to_pylist(), strict=True)):
                 full = len(h) + 2 if h else 0
-                h = fit_titles(h, limit, LEAST_BODY)
-                found = pieces(t, limit - len(h), least, most)
-                for k, (x, y, z) in enumerate(found):
+                fit = fit_titles(h, limit, min(LEAST_BODY, len(t)))
+                own = pieces(h, limit, least, most) if len(fit) < full else []
+                found = [*[(x, y, z, h[x:z], 0, True) for x, y, z in own], *[(x, y, z, fit + t[x:z], full - len(fit), False) for x, y, z in pieces(t, limit - len(fit), least, most)]]
+                for k, (x, y, z, content, lack, of) in enumerate(found):
                     rows.append(i)
-                    out.append((k, len(found), x, y, z, h + t[x:z], True, full - len(h)))
-            cols = list(zip(*out, strict=True)) if out else [()] * 8
+                    out.append((k, len(found), x, y, z, content, True, lack, of))
+            cols = list(zip(*out, strict=True)) if out else [()] * 9
             take = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([*[b.column(k).take(take) for k in keys], *[pa.array(c, pa.int32()) for c in cols[:5]], pa.array(cols[5], pa.string()), pa.array(cols[6], pa.bool_()), pa.array(cols[7], pa.int32())], names=[*keys, "piece", "n_pieces", "begin", "body_begin", "end", "content", "oversize", "titles_cut"])
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(take) for k in keys], *[pa.array(c, pa.int32()) for c in cols[:5]], pa.array(cols[5], pa.string()), pa.array(cols[6], pa.bool_()), pa.array(cols[7], pa.int32()), pa.array(cols[8], pa.bool_())], names=[*keys, "piece", "n_pieces", "begin", "body_begin", "end", "content", "oversize", "titles_cut", "of_titles"])
 
     large = base.where(F.col("_size") > limit).select(*keys, "_body", "_titles").mapInArrow(cut, schema)
     return small.unionByName(large)

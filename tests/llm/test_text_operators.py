@@ -6,12 +6,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessel.llm import registry
 from tessel.llm.lexicon import Trie
 from tessel.llm.mixing import mix, solve
 from tessel.llm.packing import configurations, dual_bound, pack, pack_all, price_out
 from tessel.llm.packing import solve as pack_solve
 from tessel.llm.splitting import LIMIT, fit_titles, pieces, split_oversized
 from tessel.llm.tokens import encoder, with_tokens
+from tests.oracle import compare
 
 ALPHABET = "ab。，. \n!？c"
 
@@ -41,7 +43,11 @@ def test_split_cases(spark):
     got = split_oversized(d, ["k"], "body", F.col("titles")).collect()
     assert max(len(r.content) for r in got) <= LIMIT
     by = {k: sorted((r.piece, r.n_pieces, r.begin, r.body_begin, r.end) for r in got if r.k == k) for k in range(1, 7)}
-    assert len(by[1]) == len(by[2]) == 1 and len(by[5]) == 3 and by[4][0][1] == 1
+    assert len(by[1]) == len(by[2]) == 1 and len(by[5]) == 3
+    # titles beyond a piece are kept whole in pieces of their own, the body follows
+    assert [r.of_titles for r in sorted((r for r in got if r.k == 4), key=lambda r: r.piece)] == [True, True, False]
+    for k, titles in ((4, "T" * 5000), (6, "T" * 9000 + " > last")):
+        assert "".join(r.content[r.body_begin - r.begin :] for r in sorted(got, key=lambda r: r.piece) if r.k == k and r.of_titles) == titles
     assert by[3][-1][4] == 100_000 and all(200 <= m - b <= 400 for _, _, b, m, _ in by[3][1:])
     assert split_oversized(d.limit(0), ["k"], "body").count() == 0
     assert fit_titles("a > b", 4096, 1024) == "a > b\n\n"
@@ -55,7 +61,9 @@ def test_long_titles_are_oversize(spark, tmp_path):
     spark.createDataFrame(chunks, "file_id long, source_node_index int, chunk_index int, content string, path_titles array<string>").write.parquet(f"{tmp_path}/text_chunk.parquet")
     assert [tuple(r) for r in p2_found(spark, str(tmp_path)).collect()] == [(1, 1, 0)]
     d = spark.createDataFrame([(1, "b" * 700, "T" * 2000 + " > " + "U" * 1497)], "k int, body string, titles string")
-    assert [(r.n_pieces, r.oversize, r.titles_cut) for r in split_oversized(d, ["k"], "body", F.col("titles")).collect()] == [(1, True, 2003)]
+    got = sorted(split_oversized(d, ["k"], "body", F.col("titles")).collect(), key=lambda r: r.piece)
+    assert [(r.n_pieces, r.oversize, r.titles_cut, r.of_titles) for r in got] == [(2, True, 0, True), (2, True, 2003, False)]
+    assert got[0].content == "T" * 2000 + " > " + "U" * 1497 and got[1].content == "U" * 1497 + "\n\n" + "b" * 700
 
 
 def brute(words, read):
@@ -164,7 +172,7 @@ def test_dual_bound_is_below_every_packing(hist):
     k = np.array(sorted(hist))
     n = np.array([hist[int(x)] for x in k])
     s = pack_solve(hist, 20)
-    assert -(-int(k @ n) // 20) <= dual_bound(k, n, 20) == s.bound <= min(s.containers, len(best_fit(hist, 20)))
+    assert k @ n / 20 <= dual_bound(k, n, 20) + 1e-9 and dual_bound(k, n, 20) <= s.bound + 1e-6 and s.bound <= min(s.containers, len(best_fit(hist, 20)))
 
 
 def test_driver_state_is_bounded():
@@ -234,3 +242,44 @@ def test_mix(spark):
     assert {r.source: r.limited for r in rates.collect()} == {"alpha_x": False, "beta": False, "tiny": True, "nowhere": True}
     empty = spark.createDataFrame([], "doc_id long, source string, tokens int")
     assert mix(empty, spark.createDataFrame(targets, "mix_id string, source string, target_share double, max_repeats int, size_factor double"))[0].count() == 0
+
+
+def test_rates_are_tilted_by_document(spark):
+    rnd = random.Random(3)
+    docs = [(i, rnd.choice("ab"), rnd.randint(1, 2000)) for i in range(4000)]
+    total = sum(n for *_, n in docs)
+    targets = [("m", "a", 0.8, 3, 0.6), ("m", "b", 0.2, 3, 0.6)]
+    shape = "mix_id string, source string, target_share double, max_repeats int, size_factor double"
+    chosen, rates = mix(spark.createDataFrame(docs, "doc_id long, source string, tokens int"), spark.createDataFrame(targets, shape))
+    at = {r.source: r for r in rates.collect()}
+    assert at["a"].tilt > 0 > at["b"].tilt
+    # brute force: bisection on the tilt of each source over its documents
+    for s, goal in (("a", 0.48 * total), ("b", 0.12 * total)):
+        t = np.array([n for _, x, n in docs if x == s], dtype=float)
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            r = 3 / (1 + np.exp(-(np.log(0.2 / 0.8) + mid * t / t.mean())))
+            lo, hi = (mid, hi) if r @ t < goal else (lo, mid)
+        assert abs(at[s].tilt - lo) < 1e-4
+        got = [x for x in chosen.collect() if x.source == s]
+        assert abs(sum(x.tokens * x.copies for x in got) - goal) <= 2
+        assert len({round(x.rate, 6) for x in got}) > 100
+
+
+def test_mix_shrinks_to_meet_shares(spark):
+    docs = [(i, "big", 100) for i in range(1000)] + [(i + 5000, "small", 100) for i in range(50)]
+    targets = [("m", "big", 0.7, 2, 0.5), ("m", "small", 0.3, 2, 0.5), ("m", "none", 0.1, 2, 0.5)]
+    shape = "mix_id string, source string, target_share double, max_repeats int, size_factor double"
+    d, t = spark.createDataFrame(docs, "doc_id long, source string, tokens int"), spark.createDataFrame(targets, shape)
+    for size, small in (("asked", 100), ("met", 100)):
+        rows = mix(d, t, size=size)[0].collect()
+        got = {s: sum(r.copies for r in rows if r.source == s) for s in ("big", "small")}
+        assert got["small"] == small and got["big"] == (round(0.7 * 525) if size == "asked" else round(100 / 3 * 7))
+    with pytest.raises(ValueError):
+        mix(d, t, size="other")
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_invariants(spark, sf, name):
+    compare(spark, sf, name, registry.QUERIES[name], registry.SQL[name])
