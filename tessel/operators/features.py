@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.plans.lineage import fresh_path
+from tessel.plans.lineage import fresh_path, keep_table
 
 
 def type_features(events: DataFrame, entity: str, kind: str, time: str, amount: str, outcome: str, until: str, outcomes: tuple[str, ...]) -> DataFrame:
@@ -36,25 +36,41 @@ def type_features(events: DataFrame, entity: str, kind: str, time: str, amount:
     )
 
 
-def feature_blocks(features: DataFrame, entities: DataFrame, entity_key: str, block_types: int = 64) -> DataFrame:
+#: Bytes of input that a bucket is made for.
+BUCKET_BYTES = 256 << 20
+
+
+def buckets_for(spark: SparkSession, df: DataFrame) -> int:
+    """As many buckets as the bytes of the tables under ``df`` ask for, one a core at least and no more than the session allows; where a table's size isn't known, as many as shuffle partitions."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if any(n >= 1 << 60 for n in sizes):
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")), max(spark.sparkContext.defaultParallelism, -(-sum(sizes) // BUCKET_BYTES)))
+
+
+def feature_blocks(features: DataFrame, entities: DataFrame, entity_key: str, block_types: int = 64, kinds: DataFrame | None = None) -> DataFrame:
     """The complete entity table (``entity_key`` distinct and not null, other columns kept) with one map<type, features> column per block of about ``block_types`` types; null where the entity has no event of the block.
 
-    Column names of ``entities`` that clash with block columns (features_<k>)
+    Types are counted over the column ``kind`` of ``kinds``, which holds at
+    least the types of the features; without it over the features themselves,
+    which are then computed twice. Column names of ``entities`` that clash with block columns (features_<k>)
     raise ValueError.
     """
     spark = features.sparkSession
-    types = features.agg(F.approx_count_distinct("kind")).first()[0]
+    types = (features if kinds is None else kinds).agg(F.approx_count_distinct("kind")).first()[0]
     blocks = max(1, -(-types // block_types))
     clash = {f"features_{k}" for k in range(blocks)} & set(entities.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are taken")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets_for(spark, features)
     values = [c for c in features.columns if c not in ("entity", "kind")]
 
     def bucketed(df: DataFrame, name: str, key: str, *parts: str) -> DataFrame:
         table = f"{name}_{uuid.uuid4().hex}"
         w = df.repartition(n, F.col(key)).write.format("parquet").option("path", fresh_path(spark, table)).bucketBy(n, key).sortBy(key)
         (w.partitionBy(*parts) if parts else w).saveAsTable(table)
+        keep_table(spark, table)
         return spark.table(table)
 
     long = bucketed(features.withColumn("block", F.pmod(F.xxhash64("kind"), F.lit(blocks)).cast("int")), "tessel_features", "entity", "block")

@@ -97,9 +97,11 @@ def rolling_totals(entities: DataFrame, key: str, days: DataFrame, first: date,
         need = {"n": SUM, "k": SUM, "s": SUM} | ({"lo": MIN, "hi": MAX} if {"min", "max"} & set(measures) else {})
         for f, monoid in need.items():
             if f == "s":
-                v = np.array([int(x) for x in flat.field("s").to_pylist()], dtype=object)
-                if not len(v) or sum(abs(x) for x in v) < 2**62:
-                    v = v.astype(np.int64)
+                c = flat.field("s")  # 128-bit integers, low word first
+                words = np.frombuffer(c.buffers()[1], dtype=np.int64)[2 * c.offset : 2 * (c.offset + len(c))].reshape(-1, 2) if len(c) else np.zeros((0, 2), dtype=np.int64)
+                v = words[:, 0]
+                if (words[:, 1] != v >> 63).any() or np.abs(v.astype(float)).sum() >= 2.0**62:
+                    v = np.array([int(x) for x in c.to_pylist()], dtype=object)
             else:
                 v = flat.field(f).fill_null(monoid.neutral).to_numpy(zero_copy_only=False)
             g = np.full(shape, monoid.neutral, dtype=v.dtype)

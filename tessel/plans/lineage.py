@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _KEPT: list[tuple[SparkSession, str]] = []
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def keep_table(spark: SparkSession, table: str) -> None:
+    """A catalog entry over a fresh path, to be dropped with it."""
+    _TABLES.append((spark, table))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -71,6 +77,11 @@ class Cut:
 
 @atexit.register
 def _clean() -> None:
+    for spark, table in _TABLES:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # noqa: BLE001 - the session may be gone
+            break
     for spark, path in list(_KEPT):
         try:
             drop_path(spark, path)

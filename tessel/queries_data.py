@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.functions.keys import match_key, match_word
-from tessel.operators.current import current_rows
+from tessel.functions.keys import is_blank, match_key, match_word
+from tessel.operators.current import current_facts, current_rows
 from tessel.operators.features import feature_blocks, open_blocks, type_features
 from tessel.operators.hierarchy import TREE, Hierarchy
-from tessel.operators.references import deletions_of, orphan_references, parents_of, references_of
+from tessel.operators.references import deletions_of, orphan_references, parents_of
 from tessel.operators.rolling import daily, rolling_totals
 
 FIELDS = {"merchant_id": "merchant", "institution_id": "institution", "account_id": "account", "counterparty_id": "account"}
@@ -84,8 +85,12 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per referenced table and month: references of distinct transactions, and the unsound ones by reason."""
     month = F.date_format(F.timestamp_micros("t"), "yyyy-MM").alias("month")
-    refs = references_of(read(spark, sf, "transaction_flow"), FIELDS, "transaction_id", "transaction_time")
-    held = refs.select("id", "field", "kind", month).distinct().groupBy("kind", "month").agg(F.count(F.lit(1)).alias("n_references"))
+    events = read(spark, sf, "transaction_flow").select(F.col("transaction_id").alias("id"), F.date_format("transaction_time", "yyyy-MM").alias("month"), *[(~is_blank(F.col(f))).cast("int").alias(f) for f in FIELDS])
+    # one row a transaction with a flag for each field, then a few rows a month
+    held = events.groupBy("id", "month").agg(*[F.max(f).alias(f) for f in FIELDS]).groupBy("month").agg(*[F.sum(f).alias(f) for f in FIELDS])
+    kinds = sorted(set(FIELDS.values()))
+    of = lambda k: reduce(Column.__add__, [F.coalesce(f, F.lit(0)) for f, x in FIELDS.items() if x == k])
+    held = held.select("month", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), of(k).cast("long").alias("n_references")) for k in kinds])).alias("h")).select("month", "h.*").where("n_references > 0")
     bad = _orphans(spark, sf).groupBy("kind", month).agg(*[F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in ("missing", "created_later", "deleted")])
     zero = F.lit(0).cast("long")
     return held.join(bad, ["kind", "month"], "left").select(
@@ -129,13 +134,22 @@ FROM bad GROUP BY 1, 2""",
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    now = current_rows(
-        read(spark, sf, "transaction_flow"), "transaction_id", "ingest_time",
-        account=match_key(F.col("account_id")), kind=match_word(F.col("transaction_type")), status=match_word(F.col("status")), at=F.col("transaction_time"), amount=F.col("transaction_amount"),
-    )
+    events = read(spark, sf, "transaction_flow")
+    account, kind, status = match_key(F.col("account_id")), match_word(F.col("transaction_type")), match_word(F.col("status"))
+    ordered = sorted(STATUSES)  # codes in the order of the words, any other status below them
+    code = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in ordered]), status), F.lit(0)).cast("int")
+    now = current_facts(events.where(account.isNotNull()), "transaction_id", "ingest_time", {"account": account, "kind": kind}, {"at": F.col("transaction_time"), "amount": F.col("transaction_amount")}, code)
+    now = now.withColumn("status", F.when(F.col("code") > 0, F.element_at(F.array(*[F.lit(s) for s in ordered]), F.greatest("code", F.lit(1)))))
     long = type_features(now, "account", "kind", "at", "amount", "status", str(LAST), STATUSES)
     accounts = read(spark, sf, "account_info").select("account_id", match_key(F.col("account_id")).alias("account_key"))
-    return feature_blocks(long, accounts, "account_key").drop("account_key")
+    kinds = events.select("transaction_type").distinct().select(match_word(F.col("transaction_type")).alias("kind"))  # one column, a row a spelling
+    return feature_blocks(long, accounts, "account_key", kinds=kinds).drop("account_key")
+
+
+def current_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    """The current row of each transaction."""
+    words = {"kind": match_word(F.col("transaction_type")), "status": match_word(F.col("status"))}
+    return current_rows(read(spark, sf, "transaction_flow"), "transaction_id", "ingest_time", status=words["status"], kind=words["kind"], at=F.col("transaction_time")).withColumnRenamed("id", "transaction_id")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,13 +179,17 @@ f AS (SELECT a.account_id, kind AS transaction_type, count(*) AS n, CAST(sum(amt
 P5_SQL = {
     "p5_found": _P5 + "SELECT account_id, transaction_type FROM f WHERE n >= 3 AND n_success = 0",
     "p5_profile": _P5 + "SELECT * FROM f",
+    "current_transactions": f"""
+SELECT transaction_id, upper(trim(status, {_WS})) AS status, upper(trim(transaction_type, {_WS})) AS kind, transaction_time AS at
+FROM transaction_flow QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY ingest_time DESC, upper(trim(status, {_WS})) DESC) = 1""",
 }
 
 # 6 ---------------------------------------------------------------------------
 
 
 def _merchant_days(spark: SparkSession, sf: str, windows: tuple[int, ...], measures: tuple[str, ...]) -> DataFrame:
-    now = current_rows(read(spark, sf, "transaction_flow"), "transaction_id", "ingest_time", merchant=match_key(F.col("merchant_id")), at=F.col("transaction_time"), amount=F.col("transaction_amount"))
+    merchant = match_key(F.col("merchant_id"))
+    now = current_facts(read(spark, sf, "transaction_flow").where(merchant.isNotNull()), "transaction_id", "ingest_time", {"merchant": merchant}, {"at": F.col("transaction_time"), "amount": F.col("transaction_amount")})
     days = daily(now, "merchant", "at", "amount")
     merchants = read(spark, sf, "merchant_info").select("merchant_id", match_key(F.col("merchant_id")).alias("k")).where("k is not null").dropDuplicates(["k"])
     spelt = merchants.join(days, F.col("k") == F.col("entity"), "left").select(F.col("merchant_id").alias("entity"), "days").where("days is not null")
@@ -206,5 +224,5 @@ P6_SQL = {
  CAST(n30 AS BIGINT) AS count_30, CAST(s30 AS DOUBLE) AS total_30, CAST(s30 AS DOUBLE) / nullif(c30, 0) AS avg_30 FROM w""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p4_found, p4_report, p5_found, p5_features, p5_profile, p6_found, p6_rolling)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p4_found, p4_report, p5_found, p5_features, p5_profile, current_transactions, p6_found, p6_rolling)}
 SQL = P1_SQL | P4_SQL | P5_SQL | P6_SQL

@@ -3,7 +3,7 @@ from datetime import datetime as T
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.operators.current import current_rows
+from tessel.operators.current import current_facts, current_rows
 from tessel.operators.features import feature_blocks, open_blocks, type_features
 
 SCHEMA = "e string, k string, at timestamp, amt double, st string, entity string, features_0 int"
@@ -47,3 +47,12 @@ def test_current_rows(spark):
     d = spark.createDataFrame(rows, "tid string, sent int, v string, id int")
     got = sorted((r.id or "", r.v) for r in current_rows(d, "tid", "sent", v=F.col("v")).collect())
     assert got == [("", "n"), ("", "n"), ("1", "c"), ("2", "x")]
+
+
+def test_current_facts(spark):
+    rows = [("1", 1, "A ", 5.0, 3), ("1", 2, "a", None, 1), ("1", 2, "a", 5.0, 0), ("2", None, "b", 2.0, 2), ("2", None, "b", 2.0, 2), (None, 1, "n", 1.0, 1), (None, 1, "n", 1.0, 1)]
+    d = spark.createDataFrame([(i, None if s is None else T(2024, 1, s), k, v, c) for i, s, k, v, c in rows], "tid string, sent timestamp, k string, v double, c int").withColumn("id", F.lit("clash"))
+    out = current_facts(d, "tid", "sent", {"key": F.upper(F.trim("k"))}, {"v": F.col("v")}, F.col("c"))
+    assert sorted((r.id or "", r.key, r.v, r.code) for r in out.collect()) == [("", "N", 1.0, 1), ("", "N", 1.0, 1), ("1", "A", 5.0, 1), ("2", "B", 2.0, 2)]
+    assert current_facts(d.limit(0), "tid", "sent", {"key": F.col("k")}, {"v": F.col("v")}).count() == 0
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
