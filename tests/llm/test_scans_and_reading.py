@@ -1,7 +1,8 @@
 from tessel.llm import registry
 from tessel.llm.queries_text import P2_SQL
 from tessel.llm.reading import Model, fit, isotonic, reading_levels, train
-from tessel.llm.scans import Vocabulary, furniture, repair_scans
+from tessel.llm.lexicon import Trie, candidates
+from tessel.llm.scans import Vocabulary, furniture, repair_scans, title_shown
 from tests.oracle import compare
 
 KEYS = ["file_id", "node_index", "chunk_index"]
@@ -46,6 +47,50 @@ def test_headers_by_repetition(spark):
     assert all(got[9, k + 1].text == f"{starts[k]} {ends[k]} {same}".replace("\n", " ") for k in range(6))
 
 
+def test_result_does_not_depend_on_what_workers_hold(spark):
+    heads = spark.createDataFrame([(1, 1, "Settlement overview of the branch"), (3, 1, "付款")], "file_id long, node_index int, text string")
+    corpus = spark.createDataFrame([(t,) for t in CLEAN], "text string")
+    rows = [(1, 2, -1, PAGE), (3, 2, -1, "客卢可以到网点付款。工作\n人员会核对帐户\n资料。请看\n清金额再付款。"), (1, 3, -1, "The branch manaqer appr0ved the\nreqnest of the merch-\nant and keeps"), (4, 1, -1, None)]
+    d = spark.createDataFrame(rows * 2, "file_id long, node_index int, chunk_index int, text string")
+    want = sorted((r.file_id, r.node_index, r.noises, r.text or "") for r in repair_scans(d, heads, corpus, KEYS).collect())
+    assert len(want) == 8
+    for grams in (0, 3, 40):
+        assert sorted((r.file_id, r.node_index, r.noises, r.text or "") for r in repair_scans(d, heads, corpus, KEYS, grams).collect()) == want
+
+
+def test_candidates_over_tables(spark):
+    import random
+
+    rnd = random.Random(4)
+    word = lambda least: "".join(rnd.choice("abc") for _ in range(rnd.randint(least, 8)))
+    words, read = {word(2) for _ in range(400)}, {word(3) for _ in range(80)} | {"a1c", "ab0cab"}
+    got = candidates(spark.createDataFrame([(r,) for r in read] * 2, "r string"), spark.createDataFrame([(w,) for w in words], "w string"), "r", "w").collect()
+    assert len(got) == len({tuple(x) for x in got}) and {tuple(x) for x in got} == {(r, w) for r in read for w, *_ in Trie(words).within_one(r)}
+
+
+def test_confusions_are_learned_from_the_texts(spark):
+    # confusions that nothing names beforehand: k for x, and two letters for one (cj for q); names stay as they are
+    said = ["the next box holds six extra taxes", "six extra boxes quit the quiet square", "the quick taxes next quarter equal extra boxes", "a quiet box for the next square quarter"] * 4
+    scan = [t.replace("x", "k") if i % 2 else t.replace("q", "cj") for i, t in enumerate(said)]
+    items = [(5, i, -1, "and so it goes\non as before " + t.split(" ", 1)[0] + " " + t.split(" ", 1)[1] + " and on\nand on") for i, t in enumerate(scan)] + [(5, 99, -1, "the Bokes of\nPakton quit the quiet square and so")]
+    heads = spark.createDataFrame([], "file_id long, node_index int, text string")
+    corpus = spark.createDataFrame([(t,) for t in said] + [("and so it goes on as before the and on and a six the for",)] * 9, "text string")
+    d = spark.createDataFrame(items, "file_id long, node_index int, chunk_index int, text string")
+    got = {r.node_index: r.text for r in repair_scans(d, heads, corpus, KEYS).collect()}
+    right = sum(t in got[i] for i, t in enumerate(said))
+    assert right >= 0.95 * len(said), [(t, got[i]) for i, t in enumerate(said) if t not in got[i]]
+    assert "Pakton" in got[99]
+
+
+def test_scans_and_titles(spark):
+    title = "Notes on the yearly settlement of partner institutions and their branches"
+    assert title_shown("12 Acme — " + title[:37], title) == (10, 47, True) and title_shown(title[:30] + " · Acme 7", title)[:2] == (0, 30)
+    assert title_shown("Notes on the wall", title) is None and title_shown("", title) is None and title_shown(title, title) == (0, len(title), True)
+    # one broken line in a file of one, and a file of many whole lines with one broken by chance
+    got = run(spark, [(1, 2, -1, "The settlement desk compares the daily re-\nport with the merchant contract."), (2, 2, -1, "whole line.\n" * 30 + "a line that\ngoes on.")])
+    assert got[1, 2].scanned and got[1, 2].noises == ["hyphen"] and not got[2, 2].scanned
+
+
 def test_empty_vocabulary(spark):
     heads = spark.createDataFrame([], "file_id long, node_index int, text string")
     d = spark.createDataFrame([(1, 1, -1, "a b\nc d\ne f\ng h\nof text")], "file_id long, node_index int, chunk_index int, text string")
