@@ -30,16 +30,31 @@ HEADING_PATTERNS = [
     r"^[A-Z][A-Z\s]*$",
     r"^[A-Z][a-z\s]+$",
 ]
-TABLE_HEADER_WORDS = (
-    "名称 姓名 编号 序号 代码 标识 标号 ID Code Name 类型 分类 种类 类别 性质 属性 特征 Type Category 项目 内容 描述 说明 备注 注释 详情 Item Description "
-    "数量 金额 价格 费用 成本 总计 小计 合计 Amount Price Cost Total Sum Count Quantity 日期 时间 年份 月份 期间 开始 结束 截止 Date Time Year Month Period Start End "
-    "状态 结果 等级 级别 评分 得分 排名 排序 Status Result Level Grade Score Rank 地址 位置 区域 部门 单位 公司 机构 组织 Address Location Department Company Organization "
-    "电话 邮箱 联系 手机 Phone Email Contact 负责人 联系人 经办人 申请人 审批人 操作员 Manager Contact Operator Applicant Approver "
-    "流程 步骤 阶段 环节 操作 处理 审核 审批 Process Step Stage Operation Review Approval 参数 配置 规格 型号 版本 尺寸 重量 容量 Parameter Config Specification Model Version Size "
-    "比例 百分比 占比 增长率 完成率 达成率 通过率 准确率 Ratio Percentage Rate Growth Completion accuracy 质量 安全 风险 问题 缺陷 异常 故障 Quality Safety Risk Issue Defect Exception "
-    "计划 目标 任务 指标 要求 标准 规范 Plan Target Task Indicator Requirement Standard 资源 材料 设备 工具 软件 系统 平台 Resource Material Equipment Tool Software System "
-    "权限 角色 职位 岗位 职责 权利 义务 Permission Role Position Responsibility Authority"
-).split()
+TABLE_HEADER_WORDS = [
+    "名称", "姓名", "编号", "序号", "代码", "标识", "标号", "ID", "Code", "Name", "类型", "分类", "种类", "类别", "性质", "属性", "特征", "Type", "Category", "项目", "内容", "描述",
+    "说明", "备注", "注释", "详情", "Item", "Description", "数量", "金额", "价格", "费用", "成本", "总计", "小计", "合计", "Amount", "Price", "Cost", "Total", "Sum", "Count",
+    "Quantity", "日期", "时间", "年份", "月份", "期间", "开始", "结束", "截止", "Date", "Time", "Year", "Month", "Period", "Start", "End", "状态", "结果", "等级", "级别",
+    "评分", "得分", "排名", "排序", "Status", "Result", "Level", "Grade", "Score", "Rank", "地址", "位置", "区域", "部门", "单位", "公司", "机构", "组织", "Address",
+    "Location", "Department", "Company", "Organization", "电话", "邮箱", "联系", "手机", "Phone", "Email", "Contact", "负责人", "联系人", "经办人", "申请人", "审批人",
+    "操作员", "Manager", "Contact", "Operator", "Applicant", "Approver", "流程", "步骤", "阶段", "环节", "操作", "处理", "审核", "审批", "Process", "Step", "Stage",
+    "Operation", "Review", "Approval", "参数", "配置", "规格", "型号", "版本", "尺寸", "重量", "容量", "Parameter", "Config", "Specification", "Model", "Version",
+    "Size", "比例", "百分比", "占比", "增长率", "完成率", "达成率", "通过率", "准确率", "Ratio", "Percentage", "Rate", "Growth", "Completion", "accuracy", "质量", "安全", "风险",
+    "问题", "缺陷", "异常", "故障", "Quality", "Safety", "Risk", "Issue", "Defect", "Exception", "计划", "目标", "任务", "指标", "要求", "标准", "规范", "Plan", "Target",
+    "Task", "Indicator", "Requirement", "Standard", "资源", "材料", "设备", "工具", "软件", "系统", "平台", "Resource", "Material", "Equipment", "Tool", "Software",
+    "System", "权限", "角色", "职位", "岗位", "职责", "权利", "义务", "Permission", "Role", "Position", "Responsibility", "Authority",
+]
+#: Reply fences and prefixes of statements.
+SQL_FENCE = r"```(?:sql|SQL|SQLQuery|mysql|postgresql)?\s*(.*?)\s*```"
+SQL_PREFIX = r"(?:SQL\s*Query|SQLQuery|MySQL|PostgreSQL|SQL)\s*:\s*"
+#: Beginnings of headings and their levels; capitals are level 1, everything else level 2.
+LEVEL_PATTERNS = [
+    (r"^\d+\.\d+\.\d+", 3),
+    (r"^\d+\.\d+", 2),
+    (r"^\d+\.?", 1),
+    (r"^第[一二三四五六七八九十\d]+章", 1),
+    (r"^第[一二三四五六七八九十\d]+節", 2),
+    (r"^[一二三四五六七八九十]+[、\.]", 2),
+]
 OVERLAP_MARKS = "。！？\n.!?;；:：，,"
 LLM_HIDDEN_KEYS = [
     "category_depth", "languages", "filetype", "last_modified", "parent_node_id", "chunk_index", "is_child_node",
@@ -73,8 +88,8 @@ def drop_extension(c: Column) -> Column:
 
 def clean_sql(c: Column) -> Column:
     """The first SELECT statement of a model's reply, on lines by keyword."""
-    c = F.regexp_replace(c, "(?s)```(?:sql|SQL|SQLQuery|mysql|postgresql)?\\s*(.*?)\\s*```", "$1")
-    c = F.regexp_replace(c, "(?i)^(?:SQL\\s*Query|SQLQuery|MySQL|PostgreSQL|SQL)\\s*:\\s*", "")
+    c = F.regexp_replace(c, f"(?s){SQL_FENCE}", "$1")
+    c = F.regexp_replace(c, f"(?i)^{SQL_PREFIX}", "")
     first = F.regexp_extract(c, "(?is)(SELECT.*?;)", 1)
     c = F.when(first != "", first).otherwise(c)
     c = F.regexp_replace(F.regexp_replace(c, "`([^`]*)`", "$1"), "\\s+", " ")
@@ -118,16 +133,8 @@ def is_likely_heading(c: Column) -> Column:
 
 def infer_heading_level(c: Column) -> Column:
     """Level by numbering, 1 for capitals, else 2."""
-    return (
-        F.when(c.rlike("^\\d+\\.\\d+\\.\\d+"), 3)
-        .when(c.rlike("^\\d+\\.\\d+"), 2)
-        .when(c.rlike("^\\d+\\.?"), 1)
-        .when(c.rlike("^第[一二三四五六七八九十\\d]+章"), 1)
-        .when(c.rlike("^第[一二三四五六七八九十\\d]+節"), 2)
-        .when(c.rlike("^[一二三四五六七八九十]+[、\\.]"), 2)
-        .when(is_upper(c), 1)
-        .otherwise(2)
-    )
+    numbered = reduce(lambda x, p: x.when(c.rlike(p[0]), p[1]), LEVEL_PATTERNS[1:], F.when(c.rlike(LEVEL_PATTERNS[0][0]), LEVEL_PATTERNS[0][1]))
+    return numbered.when(is_upper(c), 1).otherwise(2)
 
 
 def detect_heading_level(c: Column, most: int = 6) -> Column:
@@ -194,7 +201,7 @@ def body_text(content: Column) -> Column:
 
 
 def without_titles(content: Column, titles: Column) -> Column:
-    """Content without a leading full path, suffix of it or single title, if more than 20 characters remain (X11, the prefix part)."""
+    """Content without a leading full path, suffix of it or single title, if more than 20 characters remain (X11)."""
     n = F.size(titles)
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.array_join(F.slice(titles, k, F.greatest(n, F.lit(1))), " > "))
     heads = F.filter(F.concat(suffixes, titles), lambda t: (t != "") & F.startswith(content, t) & (F.length(content) - F.length(t) > 20))
@@ -202,6 +209,27 @@ def without_titles(content: Column, titles: Column) -> Column:
     return F.when((n > 0) & (F.size(heads) > 0), F.regexp_replace(cut, "^\\n{1,2}", "")).otherwise(content)
 
 
+def without_repeated_titles(content: Column, titles: Column, least: int = 2) -> Column:
+    """Content whose lines that are nothing but one of the titles or the joined path are left out, but for the first line, where more than ``least`` characters remain (X11): titles that a merge has left in mid text."""
+    lines = F.split(content, "\n")
+    path = F.array_join(titles, " > ")
+    own = lambda x: F.array_contains(titles, F.trim(x)) | (F.trim(x) == path)
+    kept = F.filter(lines, lambda x, i: (i == 0) | (F.trim(x) == "") | ~F.coalesce(own(x), F.lit(False)))
+    out = F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n")
+    return F.when((F.size(titles) > 0) & (F.length(F.trim(out)) > least), out).otherwise(content)
+
+
+def padded_markdown(rows: Column) -> Column:
+    """Rows of cells as an aligned Markdown table, the first as its header: columns as wide as their widest cell, three at least, short rows filled up."""
+    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
+    cell = lambda r, k: F.coalesce(F.trim(F.get(r, k)), F.lit(""))
+    columns = F.sequence(F.lit(0), width - 1)
+    wide = lambda k: F.greatest(F.lit(3), F.array_max(F.transform(rows, lambda r: F.length(cell(r, k)))))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(columns, lambda k: F.rpad(cell(r, k), wide(k), F.lit(" "))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.array_join(F.transform(columns, lambda k: F.repeat(F.lit("-"), wide(k) + 2)), "|"), F.lit("|"))
+    return F.when((F.size(rows) == 0) | (width == 0), "").otherwise(F.array_join(F.concat(F.array(line(F.get(rows, F.lit(0))), rule), F.transform(F.slice(rows, 2, 1 << 30), line)), "\n"))
+
+
 def overlap_length(prev: Column, cur: Column, most: int) -> Column:
     """Longest end of ``prev``, up to ``most``, with which ``cur`` begins; 0 if none."""
     limit = F.least(F.length(prev), F.length(cur), F.lit(most))

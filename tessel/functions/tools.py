@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.Pow: None}
 _UNARY = {ast.UAdd: operator.pos, ast.USub: operator.neg}
 _COMPARE = {ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge, ast.Eq: operator.eq, ast.NotEq: operator.ne}
+#: The functions and constants of expressions.
 _FUNCTIONS = {"abs": abs, "round": round, "min": min, "max": max, "sum": sum, "pow": None, "len": len, "sqrt": math.sqrt, "sin": math.sin, "cos": math.cos, "tan": math.tan, "log": math.log, "log10": math.log10, "exp": math.exp}
 _CONSTANTS = {"pi": math.pi, "e": math.e}
 #: Bits that a power may have.

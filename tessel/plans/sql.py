@@ -8,15 +8,15 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
-from tessel.functions.text import SQL_KEYWORDS
+from tessel.functions.text import SQL_FENCE, SQL_KEYWORDS, SQL_PREFIX
 
 # cleaning -----------------------------------------------------------------------
 
 
 def clean_statement(text: str, strict: bool = False) -> str:
     """The statement in a model's reply. Unlike the column function clean_sql it keeps a leading WITH and leaves string literals alone (Q2, Q3), unless ``strict``."""
-    text = re.sub(r"```(?:sql|SQL|SQLQuery|mysql|postgresql)?\s*(.*?)\s*```", r"\1", text, flags=re.DOTALL)
-    text = re.sub(r"^\s*(?:SQL\s*Query|SQLQuery|MySQL|PostgreSQL|SQL)\s*:\s*", "", text, flags=re.IGNORECASE)
+    text = re.sub(SQL_FENCE, r"\1", text, flags=re.DOTALL)
+    text = re.sub(r"^\s*" + SQL_PREFIX, "", text, flags=re.IGNORECASE)
     start = re.search(r"\bSELECT\b" if strict else r"\b(?:WITH|SELECT)\b", text, re.IGNORECASE)
     parts, ended = [], False
     for s, literal in pieces(text[start.start() :] if start else text):
@@ -49,8 +49,15 @@ def pieces(sql: str) -> list[tuple[str, bool]]:
 DATE_CODES = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%c": "M", "%d": "dd", "%e": "d", "%H": "HH", "%k": "H", "%h": "hh", "%i": "mm", "%s": "ss", "%S": "ss", "%M": "MMMM", "%b": "MMM", "%W": "EEEE", "%a": "EEE", "%j": "DDD", "%p": "a", "%T": "HH:mm:ss"}
 
 
+def insensitive(held: list[str], mark: str) -> str:
+    """A kept pattern literal that takes no notice of case, as MySQL's doesn't."""
+    k = int(mark.strip("\x00"))
+    held[k] = held[k][0] + "(?i)" + held[k][1:]
+    return mark
+
+
 def to_spark(sql: str) -> str:
-    """A MySQL statement as Spark takes it: limits, group_concat, date patterns and intervals, byte lengths. Literals stay, but for date patterns."""
+    """A MySQL statement as Spark takes it: limits, group_concat, date patterns and intervals, byte lengths, JSON paths, REGEXP without regard to case. Literals stay, but for date and REGEXP patterns."""
     held: list[str] = []
 
     def keep(m: re.Match) -> str:
@@ -61,6 +68,12 @@ def to_spark(sql: str) -> str:
     s = re.sub(r"\blimit\s+(\d+)\s*,\s*(\d+)", r"LIMIT \2 OFFSET \1", s, flags=re.I)
     s = re.sub(r"\bgroup_concat\s*\(\s*(distinct\s+)?([^()]*?)(?:\s+order\s+by\s+([^()]*?))?(?:\s+separator\s+(\x00\d+\x00))?\s*\)", lambda m: f"listagg({m[1] or ''}cast({m[2]} as string), {m[4] or repr(',')})" + (f" within group (order by {m[3]})" if m[3] else ""), s, flags=re.I)
     s = re.sub(r"\bdate_(sub|add)\s*\(\s*([^(),]+|[^(),]*\([^()]*\)[^(),]*)\s*,\s*interval\s+(\S+)\s+(\w+)\s*\)", lambda m: f"({m[2]} {'-' if m[1].lower() == 'sub' else '+'} interval {m[3]} {m[4]})", s, flags=re.I)
+    column = r"([A-Za-z_][\w.]*)"
+    s = re.sub(column + r"\s*->>\s*(\x00\d+\x00)", r"get_json_object(\1, \2)", s)
+    s = re.sub(column + r"\s*->\s*(\x00\d+\x00)", r"get_json_object(\1, \2)", s)
+    s = re.sub(r"\bjson_unquote\s*\(\s*(json_extract\s*\([^()]*\)|get_json_object\([^()]*\))\s*\)", r"\1", s, flags=re.I)
+    s = re.sub(r"\bjson_extract\s*\(", "get_json_object(", s, flags=re.I)
+    s = re.sub(r"\b(not\s+)?regexp\s+(?:binary\s+)?(\x00\d+\x00)", lambda m: f"{m[1] or ''}RLIKE {insensitive(held, m[2])}", s, flags=re.I)
     s = re.sub(r"(?<!\w)length\s*\(", "octet_length(", s, flags=re.I)
     s = re.sub(r"\bchar_octet_length\(", "char_length(", s, flags=re.I)
 
@@ -80,7 +93,7 @@ def to_spark(sql: str) -> str:
 #: Kinds of plan nodes that only read.
 READ_ONLY = {
     "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Join", "Union", "Intersect", "Except", "SubqueryAlias", "UnresolvedSubqueryColumnAliases",
-    "UnresolvedRelation", "UnresolvedInlineTable", "OneRowRelation", "UnresolvedWith", "UnresolvedHaving", "Window", "WithWindowDefinition", "Generate", "LateralJoin", "Pivot", "UnresolvedHint", "UnionLoop", "SerdeQuery", "ResolvedInlineTable", "LocalRelation",
+    "UnresolvedRelation", "UnresolvedInlineTable", "OneRowRelation", "UnresolvedWith", "UnresolvedHaving", "Window", "WithWindowDefinition", "Generate", "LateralJoin", "Pivot", "UnresolvedHint", "UnionLoop", "ResolvedInlineTable", "LocalRelation", "UnresolvedTableValuedFunction",
 }
 
 
@@ -88,28 +101,59 @@ class NotAllowed(ValueError):
     """The statement does something else than read."""
 
 
+#: Functions that call into the JVM, read files, or hold a worker up.
+FORBIDDEN = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "raise_error", "assert_true", "sleep", "current_user", "session_user", "user", "version", "current_catalog", "current_database", "current_schema"}
+
+
 def guard(spark: SparkSession, sql: str) -> None:
-    """Raises NotAllowed unless every node of the parsed statement, also below WITH, is in READ_ONLY."""
+    """Raises NotAllowed unless every node of the parsed statement, also below WITH and in subqueries of expressions, is in READ_ONLY, and every function it calls is one of Spark's own that is not FORBIDDEN."""
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as x:  # noqa: BLE001
         raise NotAllowed(f"not a statement: {str(x)[:200]}") from x
+    builtin = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.functionSet()
+    tables = spark._jvm.org.apache.spark.sql.catalyst.analysis.TableFunctionRegistry.functionSet()
+    names = {f.funcName().lower() for found in (builtin, tables) for f in _each(found.toSeq())}
+
+    def call(parts: list[str]) -> None:
+        name = parts[-1].lower()
+        if len(parts) > 1 or name in FORBIDDEN or name not in names:
+            raise NotAllowed(f"function {'.'.join(parts)} is not allowed")
+
+    def look(x) -> None:
+        kind = x.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            call([str(p) for p in _each(x.nameParts())])
+        if kind in SUBQUERIES:
+            walk(x.plan())
+        for y in _each(x.children()):
+            look(y)
 
     def walk(node) -> None:
         kind = node.getClass().getSimpleName()
         if kind not in READ_ONLY:
             raise NotAllowed(f"{kind} is not allowed")
         if kind == "UnresolvedWith":
-            ctes = node.cteRelations()
-            for i in range(ctes.size()):
-                walk(ctes.apply(i).productElement(1))
-        below = node.children()
-        for i in range(below.size()):
-            walk(below.apply(i))
+            for c in _each(node.cteRelations()):
+                walk(c.productElement(1))
+        if kind == "UnresolvedTableValuedFunction":
+            call([str(p) for p in _each(node.name())])
+        for x in _each(node.expressions()):
+            look(x)
+        for below in _each(node.children()):
+            walk(below)
 
     walk(plan)
 
 
+#: Expressions that hold a plan.
+SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"}
+
+
+def _each(seq):
+    return (seq.apply(i) for i in range(seq.size()))
+
+
 def reading_session(spark: SparkSession) -> SparkSession:
     """A session of its own for statements: a division by zero is null, as where they come from; its views and settings leave the caller's alone."""
     s = spark.newSession()
@@ -201,9 +245,11 @@ def shape_answer(rows: list[Row]) -> str:
 class Answer:
     answer: str
     sql_query: str
+    complete: bool = True
 
 
 def ask(spark: SparkSession, question: str, tables: dict[str, DataFrame] | None = None, generator: SqlGenerator = generate, most_rows: int = 1000) -> Answer:
-    """A question to its answer and statement (L5). Answers are read by people: ``most_rows`` rows are shown at most."""
+    """A question to its answer and statement (L5). Answers are read by people: of a longer result ``most_rows`` rows are shown and ``complete`` is false; run_statement gives all."""
     sql = clean_statement(generator(question, sorted(tables or {})))
-    return Answer(shape_answer(run_statement(spark, sql, tables).limit(most_rows).collect()), sql)
+    rows = run_statement(spark, sql, tables).limit(most_rows + 1).collect()
+    return Answer(shape_answer(rows[:most_rows]), sql, len(rows) <= most_rows)

@@ -60,6 +60,18 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     ),
     "sql_math_null_division": ("SELECT o_orderkey, o_totalprice / (o_custkey % 2) AS ratio, FLOOR(SQRT(o_totalprice)) AS root, MOD(o_orderkey, 7) AS m, ABS(0 - o_custkey) AS a FROM orders", "SELECT o_orderkey, o_totalprice / nullif(o_custkey % 2, 0) AS ratio, CAST(FLOOR(SQRT(o_totalprice)) AS BIGINT) AS root, o_orderkey % 7 AS m, ABS(0 - o_custkey) AS a FROM orders"),
     "sql_json": ("SELECT event_type, SUM(CAST(get_json_object(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY event_type", "SELECT event_type, CAST(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type"),
+    "sql_json_extract": (
+        "SELECT event_id, JSON_EXTRACT(props, '$.k') AS k, props->>'$.k' AS t FROM events",
+        "SELECT event_id, json_extract_string(props, '$.k') AS k, props->>'$.k' AS t FROM events",
+    ),
+    "sql_regexp": (
+        "SELECT c_custkey, c_name FROM customer WHERE c_name REGEXP 'customer#0+1[0-9]*$' AND c_mktsegment NOT REGEXP '^B'",
+        "SELECT c_custkey, c_name FROM customer WHERE regexp_matches(c_name, '(?i)customer#0+1[0-9]*$') AND NOT regexp_matches(c_mktsegment, '(?i)^B')",
+    ),
+    "sql_cross_join": ("SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n WHERE n.n_regionkey <> r.r_regionkey", None),
+    "sql_join_using": ("SELECT a.k, a.n AS n_orders, b.n AS n_lines FROM (SELECT o_orderkey AS k, COUNT(*) AS n FROM orders GROUP BY o_orderkey) a JOIN (SELECT l_orderkey AS k, COUNT(*) AS n FROM lineitem GROUP BY l_orderkey) b USING (k)", None),
+    "sql_except_parts": ("SELECT s_nationkey * 7 AS k FROM supplier EXCEPT SELECT n_nationkey FROM nation", None),
+    "sql_left_join_unmatched": ("SELECT n.n_nationkey, n.n_name, s.s_suppkey FROM nation n LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey AND s.s_acctbal < 0", None),
     "sql_stddev": ("SELECT l_returnflag, ROUND(STDDEV_POP(l_quantity), 6) AS sd, COUNT(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag", None),
 }
 #: Questions through the offline generator.

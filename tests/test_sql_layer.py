@@ -5,12 +5,12 @@ from tessel.plans.router import Registry, answer_batch
 from tessel.plans.sql import CannotTranslate, NotAllowed, ask, clean_statement, generate, guard, reading_session, run_statement, shape_answer, to_spark
 
 
-@pytest.mark.parametrize("sql", ["SELECT 1", "WITH a AS (SELECT 1 x) SELECT * FROM a", "SELECT a, count(*) FROM t GROUP BY a HAVING count(*) > 1 ORDER BY a LIMIT 3", "SELECT 1 UNION SELECT 2"])
+@pytest.mark.parametrize("sql", ["SELECT 1", "WITH a AS (SELECT 1 x) SELECT * FROM a", "SELECT a, count(*) FROM t GROUP BY a HAVING count(*) > 1 ORDER BY a LIMIT 3", "SELECT 1 UNION SELECT 2", "SELECT sum(a) OVER (PARTITION BY b), if(a > 1, date_add(c, 2), NULL), a RLIKE 'x' FROM t WHERE a IN (SELECT b FROM u) AND EXISTS (SELECT 1)", "SELECT * FROM range(3)"])
 def test_guard_lets_reading_pass(spark, sql):
     guard(spark, sql)
 
 
-@pytest.mark.parametrize("sql", ["DROP TABLE t", "INSERT INTO t VALUES (1)", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SET x = 1", "DELETE FROM t", "SHOW TABLES", "nonsense"])
+@pytest.mark.parametrize("sql", ["DROP TABLE t", "INSERT INTO t VALUES (1)", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SET x = 1", "DELETE FROM t", "SHOW TABLES", "nonsense", "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT 1 WHERE EXISTS (SELECT java_method('java.lang.System', 'exit', 0))", "WITH a AS (SELECT try_reflect('java.lang.System', 'getProperty', 'x') AS x) SELECT * FROM a", "SELECT (SELECT max(reflect('a', 'b')) FROM t)", "SELECT my_udf(1)", "SELECT spark_catalog.default.f(1)", "SELECT a FROM t ORDER BY reflect('a', 'b')", "SELECT * FROM t JOIN u ON t.a = reflect('a', 'b')", "SELECT sum(x) OVER (PARTITION BY reflect('a', 'b')) FROM t", "SELECT a FROM t WHERE a IN (SELECT input_file_name() FROM t)", "SELECT * FROM (SELECT transform(array(1), x -> reflect('a', 'b')))"])
 def test_guard_stops_the_rest(spark, sql):
     with pytest.raises(NotAllowed):
         guard(spark, sql)
@@ -26,6 +26,8 @@ def test_dialect():
     assert to_spark("SELECT a FROM t LIMIT 5, 10") == "SELECT a FROM t LIMIT 10 OFFSET 5"
     assert "LIMIT 1, 2" in to_spark("SELECT 'LIMIT 1, 2'")
     assert to_spark("SELECT DATE_FORMAT(ts, '%Y-%m') FROM t") == "SELECT DATE_FORMAT(ts, 'yyyy-MM') FROM t"
+    assert to_spark("SELECT JSON_UNQUOTE(JSON_EXTRACT(p, '$.k')), p->>'$.k', p -> '$.j' FROM t") == "SELECT get_json_object(p, '$.k'), get_json_object(p, '$.k'), get_json_object(p, '$.j') FROM t"
+    assert to_spark("SELECT a FROM t WHERE a REGEXP '^x' AND b NOT REGEXP 'y->>z'") == "SELECT a FROM t WHERE a RLIKE '(?i)^x' AND b NOT RLIKE '(?i)y->>z'"
     assert "octet_length(x)" in to_spark("SELECT LENGTH(x), CHAR_LENGTH(x)")
 
 
@@ -48,6 +50,7 @@ def test_question_to_answer(spark):
     i = s.createDataFrame([("I1", "机构18"), ("I2", "机构2")], "institution_id string, institution_name string")
     a = ask(s, "机构18最近两笔退款的流水号和金额", {"transaction_flow": t, "institution_info": i})
     assert a.answer == "[['T2', '7.0'], ['T1', '5.0']]" and "LIMIT 2" in a.sql_query
+    assert a.complete and not ask(s, "latest 2 refund", {"transaction_flow": t}, most_rows=1).complete
     with pytest.raises(CannotTranslate):
         generate("what is the meaning of life")
 
