@@ -27,14 +27,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SENTENCE = re.compile(r"(?<=[。！？!?\n])|(?<=\.)\s+")
 TOKEN = re.compile(r"[A-Za-z]+(?:[-'’][A-Za-z]+)*|[0-9]+|[一-鿿]+")
 COMMA = re.compile(r"[,;，；、：:]")
 SYNTAX = 6
+#: Bounds of the fit, not of the data that is scored: graded documents and their characters, words (the commonest of the sample) that have a weight, and pairs of documents drawn for the ranker.
 SAMPLE_DOCS, SAMPLE_CHARS, VOCABULARY = 5000, 8_000_000, 4000
+#: Share and number of documents from which a first or last line is furniture; lines are told apart by their first and last EDGE characters, as names and dates stand between.
+EDGE = 8
 FURNITURE_SHARE, FURNITURE_LEAST = 0.002, 8
 ROUNDS, STEPS, PAIRS, L2, LEAST_GAP = 2, 60, 60_000, 0.1, 0.75
 
@@ -71,9 +74,9 @@ def sentences(text: str, furniture: frozenset) -> list[str]:
 
 
 def edge_key(line: str) -> tuple[str, str]:
-    """A line's first and last eight characters, figures masked, speaker left out."""
+    """A line's first and last EDGE characters, figures masked, speaker left out."""
     line = re.sub(r"[0-9]+", "#", re.sub(r"^[^:：]{1,10}[:：]\s*", "", line.strip()))
-    return line[:8], line[-8:]
+    return line[:EDGE], line[-EDGE:]
 
 
 @dataclass(frozen=True)
@@ -192,7 +195,7 @@ def furniture_lines(docs: DataFrame, text: str) -> frozenset:
     lines = docs.select(F.regexp_replace(t, "\\r", "\n").alias("t")).where("t like '%\n%'")
     plain = lambda c: F.regexp_replace(F.regexp_replace(F.btrim(c, F.lit(" \t\n\r　")), "^[^:：]{1,10}[:：]\\s*", ""), "[0-9]+", "#")
     ends = lines.select(F.explode(F.array(*[F.struct(F.lit(k).alias("at"), plain(F.substring_index("t", "\n", n)).alias("line")) for k, n in (("first", 1), ("last", -1))])).alias("e"))
-    keys = ends.select("e.at", F.left("e.line", F.lit(8)).alias("a"), F.right("e.line", F.lit(8)).alias("b")).groupBy("at", "a", "b").count()
+    keys = ends.select("e.at", F.left("e.line", F.lit(EDGE)).alias("a"), F.right("e.line", F.lit(EDGE)).alias("b")).groupBy("at", "a", "b").count()
     least = max(FURNITURE_LEAST, FURNITURE_SHARE * docs.count())
     return frozenset((r["at"], r["a"], r["b"]) for r in keys.where(F.col("count") >= least).collect())
 
@@ -202,8 +205,17 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     grades = labels.where("band is not null").select("doc_id", "rater_id", "band").distinct().groupBy("doc_id").agg(F.avg("band").alias("grade"))
     drawn = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     known = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).where("length(text) > 0").join(F.broadcast(drawn), "doc_id")  # at most sample_docs rows
-    w = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = known.withColumn("run", F.sum(F.length("text")).over(w)).where(F.col("run") <= sample_chars).collect()
+    # lengths first: texts are fetched only of the documents that sample_chars allows
+    sizes = known.select("doc_id", F.xxhash64("doc_id").alias("h"), F.length("text").alias("n")).collect()
+    chosen, run = [], 0
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        run += r["n"]
+        if run > sample_chars:
+            break
+        chosen.append(r["doc_id"])
+    kind = docs.schema[doc].dataType.simpleString()
+    ids = docs.sparkSession.createDataFrame([(x,) for x in chosen], f"doc_id {kind}")
+    rows = known.join(F.broadcast(ids), "doc_id").collect()
     return fit([r["text"] for r in rows], [r["grade"] for r in rows], furniture_lines(docs, text))
 
 
