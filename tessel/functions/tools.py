@@ -179,9 +179,9 @@ def fx_convert(amount: Column, rate: Column, stored_amount: Column, stored: Colu
 
 
 def yuan_to_usd(text: Column, rate: float = 0.1202) -> Column:
-    """The amount before 亿元人民币 in a text times ``rate``, two decimals; 0.00 without one."""
+    """The amount before 亿元人民币 in a text times ``rate``, two decimals, halves up, as exact decimals; 0.00 without one."""
     n = F.regexp_extract(text, "(\\d+\\.?\\d*) 亿元人民币", 1)
-    return F.format_number(F.coalesce(F.when(n != "", n.cast("double")), F.lit(0.0)) * rate, "0.00")
+    return F.round(F.coalesce(F.when(n != "", n.cast("decimal(24,6)")), F.lit(0).cast("decimal(24,6)")) * F.lit(Decimal(str(rate))).cast("decimal(10,6)"), 2).cast("decimal(34,2)").cast("string")
 
 
 def pair_key(a: Column, b: Column) -> Column:

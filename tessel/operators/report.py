@@ -122,6 +122,21 @@ def picture_texts(pictures: DataFrame, texts: DataFrame) -> DataFrame:
     return kids.join(texts, ["doc_id", "idx"]).select("doc_id", "picture_id", "k", "text")
 
 
+def page_headings(pages: DataFrame, toc: DataFrame) -> DataFrame:
+    """Pages (doc_id, page) with the headings that a table of contents (doc_id, page, level, title, pos) puts on them, in order; none is an empty list."""
+    heads = toc.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "level", "title"))).alias("h"))
+    empty = F.array().cast("array<string>")
+    line = F.transform("h", lambda x: F.concat(F.lit("Heading "), x["level"].cast("string"), F.lit(": "), x["title"]))
+    return pages.join(heads, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce(line, empty).alias("headings"))
+
+
+def without_cells(text: Column, tables: Column) -> Column:
+    """Page text without the texts of its tables' cells, each distinct one once, longest first (U2); rows are arrays of cells."""
+    cells = F.array_distinct(F.filter(F.transform(F.flatten(F.flatten(tables)), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+    by_length = F.reverse(F.array_sort(F.transform(cells, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))))
+    return F.aggregate(by_length, text, lambda t, c: F.replace(t, c["x"], F.lit("")))
+
+
 def pages_of(items: DataFrame) -> DataFrame:
     """(doc_id, page, blocks): items grouped by their page in reading order."""
     return items.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "type", "text"))).alias("blocks"))

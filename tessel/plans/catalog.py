@@ -68,3 +68,23 @@ def select_tables(catalog: DataFrame, question: str) -> list[str]:
 def register(spark: SparkSession, sf: str, tables: list[str]) -> None:
     for t in tables:
         spark.read.parquet(f"{sf}/{t}.parquet").createOrReplaceTempView(t)
+
+
+def create_statement(name: str, schema: T.StructType, folder: str) -> str:
+    """DDL of an empty table at ``folder`` (S3)."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in schema)
+    return f"CREATE TABLE {name} ({fields}) USING parquet LOCATION '{folder}'"
+
+
+def insert_statements(name: str, schema: T.StructType, rows: list, batch: int = 100) -> list[str]:
+    """INSERT statements of at most ``batch`` rows each."""
+
+    def literal(v, kind: T.DataType) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(kind, T.StringType):
+            return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{kind.simpleString()}'{v}'" if isinstance(kind, T.TimestampNTZType) else str(v)
+
+    values = ["(" + ", ".join(literal(r[f.name], f.dataType) for f in schema) + ")" for r in rows]
+    return [f"INSERT INTO {name} VALUES " + ", ".join(values[i : i + batch]) for i in range(0, len(values), batch)]

@@ -22,8 +22,8 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def list_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """(path, name, extension, length, modificationTime, content) of a folder and those below; a missing folder has no files (S6, S21). Extensions compare without case (Q36)."""
+def list_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS, ordered: bool = False) -> DataFrame:
+    """(path, name, extension, length, modificationTime, content) of a folder and those below, by path if ``ordered`` (S7); a missing folder has no files (S6, S21). Extensions compare without case (Q36)."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     try:
         df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
@@ -31,7 +31,8 @@ def list_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = E
         df = spark.createDataFrame([], schema)
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract(name, "\\.([^.]+)$", 1))
-    return df.select("path", name.alias("name"), ext.alias("extension"), "length", "modificationTime", "content").where(F.col("extension").isin(*extensions))
+    files = df.select("path", name.alias("name"), ext.alias("extension"), "length", "modificationTime", "content").where(F.col("extension").isin(*extensions))
+    return files.orderBy("path") if ordered else files
 
 
 # one file each ---------------------------------------------------------------------
@@ -129,6 +130,14 @@ def docx_outline(raw: bytes, name: str) -> str:
     return "\n".join(out)
 
 
+def docx_plain(raw: bytes, name: str) -> str:
+    """All text of a Word file, paragraph by paragraph, whatever its structure: the reader of last resort."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        xml = z.read("word/document.xml").decode("utf-8", "replace")
+    lines = ["".join(re.findall(r"<w:t[^>]*>([^<]*)</w:t>", p)).strip() for p in xml.split("</w:p>")]
+    return "\n".join("Paragraph: " + x for x in lines if x)
+
+
 def xlsx_rows(raw: bytes) -> list[tuple[str, list[list[str]]]]:
     """(sheet, rows of cell texts) of an Excel workbook."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -173,26 +182,33 @@ def pdf_outline(raw: bytes, name: str) -> str:
     return "\n".join(f"Heading 1: Page {k}\nParagraph: " + " ".join((p.extract_text() or "").split()) for k, p in enumerate(pages, 1))
 
 
-#: By extension; callers may pass their own (S16 and the extractor map).
-READERS: dict[str, Callable[[bytes, str], str]] = {"txt": text_outline, "md": markdown_outline, "docx": docx_outline, "xlsx": excel_outline, "xls": excel_outline, "pdf": pdf_outline}
+Reader = Callable[[bytes, str], str]
+#: By extension, in the order they are tried; callers may pass their own (S16 and the extractor map).
+READERS: dict[str, tuple[Reader, ...]] = {"txt": (text_outline,), "md": (markdown_outline,), "docx": (docx_outline, docx_plain), "xlsx": (excel_outline,), "xls": (excel_outline,), "pdf": (pdf_outline,)}
 
 
-def read_outlines(files: DataFrame, readers: dict[str, Callable[[bytes, str], str]] = READERS) -> DataFrame:
-    """(path, name, extension, outline, error) of listed files by their extension (S7, S8, S16): a reader that fails gives a null outline and its error, an unknown extension no row."""
+def read_outlines(files: DataFrame, readers: dict[str, Reader | tuple[Reader, ...]] = READERS, workers: int | None = None) -> DataFrame:
+    """(path, name, extension, outline, error) of listed files by their extension (S7, S8, S16): the first of its readers that doesn't fail; if all do, a null outline and the errors. An unknown extension gives no row. With ``workers`` the files are dealt to so many tasks."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, errors = [], []
             for name, ext, raw in zip(b.column("name").to_pylist(), b.column("extension").to_pylist(), b.column("content").to_pylist(), strict=True):
-                try:
-                    texts.append(readers[ext](raw, name))
-                    errors.append(None)
-                except Exception as x:  # noqa: BLE001 - one bad file must not stop the rest
-                    texts.append(None)
-                    errors.append(f"{type(x).__name__}: {x}")
+                text, failed = None, []
+                chain = readers[ext]
+                for read in chain if isinstance(chain, tuple) else (chain,):
+                    try:
+                        text = read(raw, name)
+                        break
+                    except Exception as x:  # noqa: BLE001 - one bad file must not stop the rest
+                        failed.append(f"{type(x).__name__}: {x}")
+                texts.append(text)
+                errors.append("; ".join(failed) if text is None else None)
             yield pa.RecordBatch.from_arrays([b.column("path"), b.column("name"), b.column("extension"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["path", "name", "extension", "outline", "error"])
 
     known = files.where(F.col("extension").isin(*readers)).select("path", "name", "extension", "content")
+    if workers:
+        known = known.repartition(workers)
     return known.mapInArrow(go, "path string, name string, extension string, outline string, error string")
 
 
@@ -217,6 +233,13 @@ def read_questions(spark: SparkSession, path: str, columns: tuple[str, ...] = ("
     return spark.read.csv(path, header=True, multiLine=True, escape='"').select(*columns)
 
 
+def read_companies(spark: SparkSession, path: str) -> DataFrame:
+    """(sha1, company_name) of a CSV file, the name from company_name or else name, outer quotes stripped."""
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    name = F.coalesce(*[F.col(c) for c in ("company_name", "name") if c in df.columns])
+    return df.select("sha1", F.regexp_replace(name, '^"+|"+$', "").alias("company_name"))
+
+
 def run_script(spark: SparkSession, text: str) -> int:
     """Runs the statements of a script in order (S5); how many there were."""
     from tessel.plans.sql import pieces

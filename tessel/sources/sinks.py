@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,29 @@ def append_log(rows: DataFrame, folder: str) -> None:
     rows.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(folder)
 
 
+def timed(spark: SparkSession, steps: dict[str, Callable[[], object]], folder: str) -> list[object]:
+    """Runs named steps in order and appends (step, elapsed) of each to a log, also of one that fails."""
+    out, rows = [], []
+    try:
+        for name, f in steps.items():
+            at = time.perf_counter()
+            try:
+                out.append(f())
+            finally:
+                rows.append((name, time.perf_counter() - at))
+    finally:
+        append_log(spark.createDataFrame(rows, "step string, elapsed double"), folder)
+    return out
+
+
+def write_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
+    """One small file, in whatever file system its path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    f = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    f.write(bytearray(raw))
+    f.close()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

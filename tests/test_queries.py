@@ -3,10 +3,10 @@ import pytest
 import __spark_entry__ as entry
 from tests.oracle import compare
 
-from tessel import queries_data, queries_docs, queries_sql
+from tessel import queries_data, queries_docs, queries_io, queries_sql
 
-CORE = {k: v for m in (queries_data, queries_sql, queries_docs) for k, v in m.QUERIES.items()}
-SQL = {k: v for m in (queries_data, queries_sql, queries_docs) for k, v in m.SQL.items()}
+CORE = {k: v for m in (queries_data, queries_sql, queries_docs, queries_io) for k, v in m.QUERIES.items()}
+SQL = {k: v for m in (queries_data, queries_sql, queries_docs, queries_io) for k, v in m.SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
