@@ -7,7 +7,7 @@ Python, over Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -195,12 +195,13 @@ def numbered_names(chunks: DataFrame, prefix: str) -> DataFrame:
     return chunks.withColumn("file_name", F.concat(F.lit(prefix + "_"), F.lpad(n.cast("string"), width, F.lit("0")), F.lit(".txt")))
 
 
-def sentence_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 1024, overlap: int = 200) -> DataFrame:
-    """(doc, chunk_index, chunk): whole sentences up to ``size`` tokens, a chunk beginning with the last sentences of the one before it up to ``overlap`` tokens (D2). A token is a word or a single Chinese character; a sentence beyond ``size`` stays whole."""
+def sentence_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 1024, overlap: int = 200, count: Callable[[str], int] | None = None) -> DataFrame:
+    """(doc, chunk_index, chunk): whole sentences up to ``size`` tokens, a chunk beginning with the last sentences of the one before it up to ``overlap`` tokens (D2). ``count`` gives the tokens of a sentence; by default a token is a word or a single Chinese character. A sentence beyond ``size`` stays whole."""
     import re
 
     sentence, token = re.compile(r"[^。！？.!?\n]*(?:[。！？!?\n]+|\.(?=\s|$)|\.|$)\s*"), re.compile(r"[一-鿿]|[^\s一-鿿]+")
     kind = docs.schema[doc].dataType.simpleString()
+    tokens = count or (lambda s: len(token.findall(s)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,7 +210,7 @@ def sentence_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
                 run: list[tuple[str, int]] = []
                 n = k = 0
                 for m in sentence.finditer(t or ""):
-                    s, c = m[0], len(token.findall(m[0]))
+                    s, c = m[0], tokens(m[0])
                     if run and n + c > size:
                         ids.append(key)
                         at.append(k)

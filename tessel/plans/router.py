@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,14 +52,45 @@ class Call:
     type: str
 
 
+#: The verbs of HTTP tools, and those that send their arguments as JSON.
+VERBS, BODIED = ("GET", "POST", "PUT", "DELETE"), ("POST", "PUT")
+
+
+@dataclass(frozen=True)
+class Request:
+    """What a connector sends: arguments in the query or as JSON, by the verb."""
+
+    method: str
+    url: str
+    headers: dict[str, str]
+    params: dict[str, Any] | None = None
+    json: dict[str, Any] | None = None
+
+
+def http_request(spec: dict, arguments: dict, headers: dict[str, str] | None = None) -> Request:
+    """The request of a tool's call (S28): shared headers under the tool's own, JSON declared for bodies unless a header says otherwise. No URL or an unknown verb is a ValueError."""
+    at = spec.get("http_config") or {}
+    method, url = str(at.get("method") or "GET").upper(), at.get("url")
+    if not url:
+        raise ValueError(f"tool {spec.get('name')} has no URL")
+    if method not in VERBS:
+        raise ValueError(f"no HTTP method {method}")
+    merged = {**(headers or {}), **(at.get("headers") or {})}
+    if method in BODIED and "content-type" not in {k.lower() for k in merged}:
+        merged["Content-Type"] = "application/json"
+    return Request(method, url, merged, None if method in BODIED else arguments, arguments if method in BODIED else None)
+
+
 @dataclass
 class Registry:
-    """Tools by name, local or over HTTP, and the log of their calls (L7). An HTTP tool is called through ``connector``; without one it answers 503."""
+    """Tools by name, local or over HTTP, and the log of their calls (L7). An HTTP tool is called through ``connector``, or as a Request through ``send``; without either it answers 503."""
 
     local: dict[str, Callable[..., Any]] = field(default_factory=dict)
     http: dict[str, dict] = field(default_factory=dict)
     log: list[Call] = field(default_factory=list)
     connector: Callable[[dict, dict], Any] | None = None
+    send: Callable[[Request], Any] | None = None
+    headers: dict[str, str] = field(default_factory=dict)
 
     def register(self, name: str, f: Callable[..., Any]) -> None:
         self.local[name] = f
@@ -73,6 +105,8 @@ class Registry:
                 status, result = 200, self.local[name](**arguments)
             elif name not in self.http:
                 status, result = 404, f"no tool {name}"
+            elif self.send is not None:
+                status, result = 200, self.send(http_request(self.http[name], arguments, self.headers))
             elif self.connector is None:
                 status, result = 503, "no connector"
             else:
@@ -87,6 +121,85 @@ class Registry:
         return [{"name": n, "type": "local"} for n in self.local] + [{k: v for k, v in s.items() if k != "http_config"} | {"type": "http"} for s in self.http.values()]
 
 
+@dataclass(frozen=True)
+class Reply:
+    """A model's reply: text, or calls of tools as (name, arguments)."""
+
+    text: str = ""
+    calls: tuple[tuple[str, dict], ...] = ()
+
+
+class Model(Protocol):
+    """A language model (L6): messages {role, content} and the catalog of tools to a reply."""
+
+    def __call__(self, messages: list[dict], tools: list[dict]) -> Reply: ...
+
+
+def stream(model: Model, messages: list[dict]) -> Iterator[str]:
+    """A model without streaming yields its whole text once."""
+    yield model(messages, []).text
+
+
+def rule_model(messages: list[dict], tools: list[dict]) -> Reply:
+    """The offline stand-in: the first tool of ROUTES that the question matches and the catalog has is called with the question, its result is the text; without one the text is empty."""
+    if messages[-1]["role"] == "tool":
+        return Reply(str(messages[-1]["content"]))
+    question, known = messages[-1]["content"], {t["name"] for t in tools}
+    name = next((n for n, words in ROUTES if n in known and re.search(words, question.lower())), None)
+    return Reply(calls=((name, {"query": question}),)) if name else Reply()
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """code 0 for an answer, 1 for none without a tool, which goes to retrieval."""
+
+    code: str
+    success: bool
+    response: Any
+    calls: list[dict]
+    rounds: int
+
+
+def converse(question: str, model: Model, registry: Registry, most_rounds: int = 5, direct: tuple[str, ...] = ("nl2sql_tool",), fallback: Callable[[str], Any] | None = None) -> Outcome:
+    """Up to ``most_rounds`` rounds of a model and the tools it calls (L8). A call of a ``direct`` tool gets the question itself, whatever the model's arguments, and its result is the answer. After the last round the model is asked once more, without tools. A question that no tool was called for goes to ``fallback``; without one its code is 1. A failing model is no success."""
+    messages: list[dict] = [{"role": "user", "content": question}]
+    done: list[dict] = []
+    try:
+        for turn in range(1, most_rounds + 1):
+            reply = model(messages, registry.catalog())
+            if not reply.calls:
+                if done or reply.text and fallback is None:
+                    return Outcome("0" if done else "1", True, reply.text, done, turn)
+                return Outcome("1", True, reply.text, done, turn) if fallback is None else Outcome("0", True, fallback(question), done, turn)
+            messages.append({"role": "assistant", "content": reply.text, "calls": reply.calls})
+            for name, arguments in reply.calls:
+                short = name in direct
+                got = registry.call(name, {"query": question} if short else arguments)
+                done.append({"tool_name": name, "arguments": {"query": question} if short else arguments, "success": got["success"], "type": "local" if name in registry.local else "http"})
+                if short:
+                    return Outcome("0", got["success"], got["result"], done, turn)
+                messages.append({"role": "tool", "content": got["result"]})
+        return Outcome("0", True, model(messages, []).text, done, most_rounds)
+    except Exception as x:  # noqa: BLE001 - a failing model is an outcome
+        return Outcome("0" if done else "1", False, str(x), done, len(done))
+
+
+def within(seconds: float, f: Callable[..., Any], empty: Any = "") -> Callable[..., Any]:
+    """``f`` as a client with a time limit: its result, or ``empty`` if it fails or takes longer."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def call(*args: Any) -> Any:
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(f, *args).result(timeout=seconds)
+        except Exception:  # noqa: BLE001 - a failing service is an empty result
+            return empty
+        finally:
+            pool.shutdown(wait=False)
+
+    return call
+
+
 def call_statistics(log: DataFrame) -> DataFrame:
     """total_calls, unique_tools, calls by tool, local and http calls, average duration to two places; zeros for an empty log (A5)."""
     per = log.groupBy("tool").agg(F.count(F.lit(1)).alias("n"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions import text as X
 from tessel.functions import tools as Z
+from tessel.operators import chunks as C
 from tessel.operators import lookups as L
 from tessel.operators import outline as O
 from tessel.operators import report as R
@@ -552,3 +553,94 @@ def rag_context_blocks(spark, sf):
     return blocks.join(n, "query_id").select("query_id", (F.col("all") - 2 * (F.col("n_texts") - F.col("blocks"))).alias("n_chars"), "n_texts", "within")
 
 
+
+
+# chunk folds -----------------------------------------------------------------------------
+
+_BODIES = "(SELECT file_id, coalesce(content, '') AS x, row_number() OVER (PARTITION BY file_id ORDER BY source_node_index, chunk_index, chunk_id) AS pos FROM text_chunk)"
+
+
+def _folded(spark, sf, f):
+    """The bodies of each file's chunks through a fold."""
+    rows = F.array_sort(F.collect_list(F.struct("source_node_index", "chunk_index", "chunk_id", F.coalesce("content", F.lit("")).alias("x"))))
+    b = read(spark, sf, "text_chunk").groupBy("file_id").agg(rows.alias("r")).select("file_id", F.transform("r", lambda x: x["x"]).alias("b"))
+    return b.select("file_id", F.posexplode(f(F.col("b"))).alias("k", "body")).select("file_id", F.col("k").cast("long").alias("k"), F.md5(F.col("body").cast("binary")).alias("hash"), F.length("body").cast("long").alias("n"))
+
+
+_OUT = "SELECT file_id, k - 1 AS k, md5(b[k]) AS hash, length(b[k]) AS n FROM (SELECT file_id, b, unnest(range(1, len(b) + 1)) AS k FROM {})"
+
+
+@query(
+    f"""WITH g AS (SELECT *, sum(CASE WHEN length(x) >= 300 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY pos) AS g FROM {_BODIES}),
+a AS (SELECT file_id, g, max(CASE WHEN length(x) >= 300 THEN x END) AS l, string_agg(x, chr(10) ORDER BY pos) FILTER (WHERE length(x) < 300) AS s, sum(length(x)) FILTER (WHERE length(x) < 300) AS n FROM g GROUP BY 1, 2),
+o AS (SELECT file_id, flatten(list(CASE WHEN s IS NULL THEN [l] WHEN g = 0 THEN [s] WHEN n < 300 THEN [l || chr(10) || s] ELSE [l, s] END ORDER BY g)) AS b FROM a GROUP BY 1)
+{_OUT.format("o")}"""
+)
+def doc_short_runs(spark, sf):
+    """Runs of short bodies joined."""
+    return _folded(spark, sf, lambda b: C.merge_short_runs(b, 300))
+
+
+@query(
+    f"""WITH RECURSIVE b AS (SELECT * FROM {_BODIES}), f AS (SELECT file_id, CAST(0 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS o, CAST(NULL AS VARCHAR) AS run FROM b GROUP BY 1 UNION ALL
+ SELECT file_id, pos, CASE WHEN length(j) >= 400 THEN list_append(o, j) ELSE o END, CASE WHEN length(j) >= 400 THEN NULL ELSE j END FROM (SELECT f.file_id, b.pos, f.o, CASE WHEN f.run IS NULL THEN b.x ELSE f.run || chr(10) || chr(10) || b.x END AS j FROM f JOIN b ON b.file_id = f.file_id AND b.pos = f.pos + 1)),
+o AS (SELECT file_id, CASE WHEN run IS NULL THEN o WHEN len(o) > 0 THEN list_append(o[1:len(o) - 1], o[len(o)] || chr(10) || chr(10) || run) ELSE [run] END AS b FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos DESC) AS z FROM f) WHERE z = 1)
+{_OUT.format("o")}"""
+)
+def doc_least_bodies(spark, sf):
+    """Short bodies take in those that follow."""
+    return _folded(spark, sf, lambda b: C.least_body(b, 400))
+
+
+_RUN_END = "right(run, least(length(run), length(x), 200))"
+
+
+@query(
+    f"""WITH RECURSIVE b AS (SELECT * FROM {_BODIES}), f AS (SELECT file_id, CAST(0 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS o, CAST('' AS VARCHAR) AS run FROM b GROUP BY 1 UNION ALL
+ SELECT file_id, pos, CASE WHEN length(run) + length(y) > 2000 AND run <> '' THEN list_append(o, run) ELSE o END, CASE WHEN length(run) + length(y) > 2000 OR run = '' THEN y ELSE run || chr(10) || chr(10) || y END
+ FROM (SELECT *, CASE WHEN run <> '' AND least(length(run), length(x), 200) >= 50 AND {_RUN_END} = left(x, least(length(run), length(x), 200)) AND regexp_matches({_RUN_END}, '[。！？；.!?;]$')
+  THEN substring(x, coalesce(list_max(list_filter(range(1, 201), lambda k: k <= length(run) AND k <= length(x) AND right(run, k) = left(x, k))), 0) + 1) ELSE x END AS y
+  FROM (SELECT f.file_id, b.pos, f.o, f.run, b.x FROM f JOIN b ON b.file_id = f.file_id AND b.pos = f.pos + 1))),
+o AS (SELECT file_id, CASE WHEN run <> '' THEN list_append(o, run) ELSE o END AS b FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos DESC) AS z FROM f) WHERE z = 1)
+{_OUT.format("o")}"""
+)
+def doc_packed_bodies(spark, sf):
+    """Bodies packed up to a length."""
+    return _folded(spark, sf, lambda b: C.pack_bodies(b, 2000))
+
+
+_TAIL = "right(prev, least(length(prev), 300))"
+_END = f"CASE WHEN contains({_TAIL}, chr(10) || chr(10)) THEN list_last(string_split({_TAIL}, chr(10) || chr(10))) WHEN regexp_matches({_TAIL}, '(?s)^.*{_MARK}(.{{50,}})$') THEN regexp_extract({_TAIL}, '(?s)^.*{_MARK}(.{{50,}})$', 1) ELSE right(prev, 100) END"
+
+
+@query(
+    f"""WITH p AS (SELECT *, lag(x) OVER (PARTITION BY file_id ORDER BY pos) AS prev FROM {_BODIES}), e AS (SELECT *, {_END} AS e FROM p),
+w AS (SELECT *, coalesce(length(x) >= 128 AND length(prev) > 100 AND length(e) > 50 AND NOT starts_with(x, e) AND NOT (contains(right(prev, 200), left(x, 50)) AND coalesce(list_max(list_filter(range(1, 201), lambda k: k <= length(right(prev, 200)) AND k <= length(x) AND right(prev, k) = left(x, k))), 0) >= 50), false) AS wanted FROM e)
+SELECT file_id, pos - 1 AS k, md5(r) AS hash, length(r) AS n FROM (SELECT *, CASE WHEN wanted THEN e || chr(10) || chr(10) || x ELSE x END AS r FROM w)"""
+)
+def doc_overlaps_added(spark, sf):
+    """Bodies led by the end of the one before."""
+    return _folded(spark, sf, lambda b: C.add_overlap(b, 100))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS hash, true AS within FROM documents WHERE coalesce(text, '') <> ''")
+def doc_sentence_cover(spark, sf):
+    """Chunks of whole sentences are the text again; tokens counted by a callback."""
+    c = C.sentence_chunks(read(spark, sf, "documents"), size=400, overlap=0, count=len)
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk"))), lambda r: r["chunk"])
+    # more than the limit only where one sentence is
+    return c.groupBy("doc_id").agg(F.md5(F.array_join(rows, "").cast("binary")).alias("hash"), F.max((F.length("chunk") <= 400) | (F.regexp_count(F.rtrim("chunk"), F.lit("[。！？!?\\n]+.")) <= F.length("chunk"))).alias("within"))
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT file_id AS doc_id, node_index, node_type, trim(regexp_replace(coalesce(text, ''), '[\\s　]+', ' ', 'g')) AS t FROM document_node WHERE node_type <> 'root'),
+k AS (SELECT *, length(t) - length(replace(t, '|', '')) >= 2 AND node_type <> 'heading' AS tab, max(CASE WHEN node_type = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS headed FROM d)
+SELECT doc_id, count(*) AS total_nodes, count(*) FILTER (WHERE node_type = 'heading') AS heading_nodes FROM k WHERE headed = 1 AND NOT tab GROUP BY 1"""
+)
+def io_pipeline(spark, sf):
+    """The document pipeline with its sinks; its statistics read back."""
+    from tessel.plans.documents import Options, process_documents
+
+    at = fresh_path(spark, "pipeline")
+    process_documents(_outlines(spark, sf), at, Options(full_text=False, tree=False, chunk_files=False, merge_paths=True))
+    return spark.read.json(f"{at}/statistics").select("doc_id", "total_nodes", "heading_nodes")

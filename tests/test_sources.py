@@ -91,3 +91,15 @@ def test_index_round_trip(spark, tmp_path):
     write_index(d, str(tmp_path / "ix"), {"nlist": 2, "nprobe": 10})
     back, info = load_index(spark, str(tmp_path / "ix"))
     assert back.count() == 2 and info["nprobe"] == "10"
+
+
+def test_document_pipeline(spark, tmp_path):
+    from tessel.plans.documents import Options, process_files
+
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    got = process_files(spark, str(folder(src)), out, Options(merge_paths=True))
+    assert {r.error[:10] for r in got["failed"].collect()} == {"BadZipFile"} and got["statistics"].count() == 4
+    assert spark.read.json(f"{out}/chunks_json").select("doc_id").distinct().count() == got["chunks"].select("doc_id").distinct().count() == 4
+    assert process_files(spark, str(src), str(tmp_path / "out2"), Options(chunking=False))["nodes"].count() == got["nodes"].count()
+    assert process_files(spark, str(src), out, Options(incremental=True, statistics=False, chunk_files=False, json=False, index=False))["nodes"].count() == 0

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import Row
 
-from tessel.plans.router import Registry, answer_batch
+from tessel.plans.router import Registry, Reply, answer_batch, converse, http_request, rule_model, stream, within
 from tessel.plans.sql import CannotTranslate, NotAllowed, ask, clean_statement, generate, guard, reading_session, run_statement, shape_answer, to_spark
 
 
@@ -65,3 +65,31 @@ def test_registry_and_batch(spark):
     q = spark.createDataFrame([("s", "p", 1, "问答题", "3*4 等于多少", None), ("s", "p", 2, "选择题", "商户的定义", "A. x"), ("s", "p", 3, "问答题", "商户有几家", "dropped")], "segments string, paper string, id int, category string, question string, content string")
     out = answer_batch(q, {"calculator_tool": lambda d: d.selectExpr("id", "'12' answer"), "rag": lambda d: d.selectExpr("id", "content answer")}).collect()
     assert {x.id: (x.tool, x.answer) for x in out} == {1: ("calculator_tool", "12"), 2: ("rag", "A. x"), 3: ("nl2sql_tool", "")}
+
+
+def test_rounds_of_tools():
+    r = Registry()
+    r.register("calculator_tool", lambda query: query.split()[-1])
+    r.register("nl2sql_tool", lambda query: f"rows of {query}")
+    assert converse("calculate 1+1", rule_model, r).response == "1+1" and list(stream(rule_model, [{"role": "tool", "content": "x"}])) == ["x"]
+    assert converse("hello", rule_model, r).code == "1" and converse("hello", rule_model, r, fallback=lambda q: q.upper()).response == "HELLO"
+    # the model's arguments are overridden, its result ends the rounds
+    got = converse("all merchants", lambda m, t: Reply(calls=(("nl2sql_tool", {"query": "other"}),)), r)
+    assert (got.response, got.rounds, got.calls[0]["arguments"]) == ("rows of all merchants", 1, {"query": "all merchants"})
+    loop = converse("q", lambda m, t: Reply(calls=(("calculator_tool", {"query": "a b"}),)) if t else Reply("end"), r)
+    assert (loop.rounds, len(loop.calls), loop.response) == (5, 5, "end")
+    assert not converse("q", lambda m, t: 1 / 0, r).success
+    assert within(5, lambda x: x + 1)(1) == 2 and within(5, lambda x: x / 0, "none")(1) == "none"
+
+
+def test_http_requests():
+    spec = {"name": "t", "http_config": {"url": "http://x", "method": "post", "headers": {"B": "2"}}}
+    q = http_request(spec, {"a": 1}, {"A": "1", "B": "1"})
+    assert (q.method, q.json, q.params, q.headers) == ("POST", {"a": 1}, None, {"A": "1", "B": "2", "Content-Type": "application/json"})
+    assert http_request({"http_config": {"url": "u"}}, {"a": 1}).params == {"a": 1}
+    for bad in ({"name": "t"}, {"http_config": {"url": "u", "method": "PATCH"}}):
+        with pytest.raises(ValueError):
+            http_request(bad, {})
+    r = Registry(send=lambda q: q.method, headers={"K": "v"})
+    r.register_http(spec)
+    assert r.call("t", {})["result"] == "POST"
