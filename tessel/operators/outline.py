@@ -13,7 +13,6 @@ from tessel.functions.text import is_table_header, is_table_line, table_cells
 from tessel.plans.lineage import Cut
 
 PARAGRAPH_LEVEL = 999
-LEVELS = 9
 
 
 def outline_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -21,7 +20,7 @@ def outline_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     at = docs.select(F.col(doc).alias("doc_id"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\\r?\\n")).alias("line", "raw"))
     raw = F.trim(F.regexp_replace("raw", "^[\\s　]+|[\\s　]+$", ""))
     head = "^(?:#+\\s*)?Heading\\s*(\\d+)\\s*:\\s*(.*)$"
-    level = F.least(F.regexp_extract("s", head, 1).cast("int"), F.lit(LEVELS))
+    level = F.coalesce(F.regexp_extract("s", head, 1).try_cast("int"), F.lit(2**31 - 1))
     return (
         at.withColumn("s", raw)
         .where("s <> ''")
@@ -68,25 +67,42 @@ def outline_nodes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     body = body.select("doc_id", "node_idx", "head_level", F.array_join(F.transform("rows", lambda x: x["content"]), "\n").alias("text"), tables.alias("tables"))
     roots = docs.select(F.col(doc).alias("doc_id"), F.lit(0).alias("node_idx")).distinct()
     nodes = roots.join(body, ["doc_id", "node_idx"], "left").unionByName(body.where("node_idx > 0"), allowMissingColumns=True)
+    # a heading's parent comes from the fold over its document's headings, a paragraph's is the last heading before it
+    heads = fold_headings(nodes.where("head_level is not null").select("doc_id", "node_idx", F.col("head_level").alias("level"), "text")).select("doc_id", "node_idx", "parent")
     order = Window.partitionBy("doc_id").orderBy("node_idx").rowsBetween(Window.unboundedPreceding, -1)
-    nodes = nodes.select("*", *[F.max(F.when(F.col("head_level") == k, F.col("node_idx"))).over(order).alias(f"last_{k}") for k in range(1, LEVELS + 1)])
-    lower = F.greatest(F.lit(0), *[F.when((F.col("head_level") > k) | F.col("head_level").isNull(), F.col(f"last_{k}")) for k in range(1, LEVELS + 1)])
+    nodes = nodes.join(heads, ["doc_id", "node_idx"], "left").withColumn("last", F.max(F.when(F.col("head_level").isNotNull(), F.col("node_idx"))).over(order))
+    parent = F.when(F.col("head_level").isNotNull(), F.col("parent")).otherwise(F.coalesce("last", F.lit(0)))
     return nodes.select(
-        "doc_id", "node_idx", F.when(F.col("node_idx") > 0, lower).cast("int").alias("parent_idx"),
+        "doc_id", "node_idx", F.when(F.col("node_idx") > 0, parent).cast("int").alias("parent_idx"),
         F.when(F.col("node_idx") == 0, 0).otherwise(F.coalesce("head_level", F.lit(PARAGRAPH_LEVEL))).alias("level"),
         F.when(F.col("node_idx") == 0, "root").when(F.col("head_level").isNotNull(), "heading").otherwise("paragraph").alias("node_type"),
         F.coalesce("text", F.lit("")).alias("text"), "tables",
     )
 
 
+def fold_headings(heads: DataFrame) -> DataFrame:
+    """(doc_id, node_idx, parent, titles) of headings (doc_id, node_idx, level, text): one fold over a document's headings in order, which keeps the stack of those that enclose the next; titles are from the outermost to the heading itself. Levels may be any numbers."""
+    open_ = "array<struct<node_idx:int,level:int,text:string>>"
+    state = f"struct<stack:{open_},out:array<struct<node_idx:int,parent:int,titles:array<string>>>>"
+    rows = F.array_sort(F.collect_list(F.struct(F.col("node_idx").cast("int").alias("node_idx"), F.col("level").cast("int").alias("level"), F.coalesce("text", F.lit("")).alias("text"))))
+    empty = F.struct(F.array().cast(open_).alias("stack"), F.array().cast("array<struct<node_idx:int,parent:int,titles:array<string>>>").alias("out")).cast(state)
+
+    def step(s: Column, x: Column) -> Column:
+        above = F.filter(s["stack"], lambda y: y["level"] < x["level"])
+        parent = F.coalesce(F.try_element_at(above, F.lit(-1))["node_idx"], F.lit(0))
+        titles = F.concat(F.transform(above, lambda y: y["text"]), F.array(x["text"]))
+        return F.struct(F.concat(above, F.array(x)).alias("stack"), F.concat(s["out"], F.array(F.struct(x["node_idx"].alias("node_idx"), parent.alias("parent"), titles.alias("titles")))).alias("out")).cast(state)
+
+    folded = heads.groupBy("doc_id").agg(rows.alias("r")).select("doc_id", F.explode(F.aggregate("r", empty, step, lambda s: s["out"])).alias("h"))
+    return folded.select("doc_id", "h.*")
+
+
 def path_titles(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with path_titles, the headings from the outermost to the node itself if it is one (J12): of the last headings of each level, those that no later heading of a lower level has closed."""
-    head = F.struct("node_idx", "text")
-    upto = Window.partitionBy("doc_id").orderBy("node_idx").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.array(*[F.max(F.when((F.col("node_type") == "heading") & (F.col("level") == k), head)).over(upto) for k in range(1, LEVELS + 1)])
-    zero = F.lit(-1)
-    keep = lambda x, i: x.isNotNull() & ((F.col("node_type") != "heading") | (i < F.col("level"))) & (x["node_idx"] > F.coalesce(F.array_max(F.transform(F.filter(F.slice(F.col("_last"), F.lit(1), i), lambda y: y.isNotNull()), lambda y: y["node_idx"])), zero))
-    return nodes.withColumn("_last", last).withColumn("path_titles", F.transform(F.filter("_last", keep), lambda x: x["text"])).drop("_last")
+    """``nodes`` with path_titles, the headings from the outermost to the node itself if it is one (J12); a paragraph has those of the heading it is under."""
+    titles = fold_headings(nodes.where("node_type = 'heading'")).select("doc_id", F.col("node_idx").alias("_head"), "titles")
+    head = F.when(F.col("node_type") == "heading", F.col("node_idx")).otherwise(F.col("parent_idx"))
+    empty = F.array().cast("array<string>")
+    return nodes.withColumn("_head", head).join(titles, ["doc_id", "_head"], "left").withColumn("path_titles", F.coalesce("titles", empty)).drop("_head", "titles")
 
 
 def leaf_nodes(nodes: DataFrame) -> DataFrame:

@@ -169,7 +169,7 @@ def _outlines(spark, sf):
     return d.groupBy(F.col("file_id").alias("doc_id")).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
 
 
-_NODES = """WITH d AS (SELECT DISTINCT file_id AS doc_id, node_index, node_type, least(9, greatest(1, coalesce(level, 1))) AS l, trim(regexp_replace(coalesce(text, ''), '[\\s　]+', ' ', 'g')) AS t FROM document_node WHERE node_type <> 'root'),
+_NODES = """WITH d AS (SELECT DISTINCT file_id AS doc_id, node_index, node_type, greatest(1, coalesce(level, 1)) AS l, trim(regexp_replace(coalesce(text, ''), '[\\s　]+', ' ', 'g')) AS t FROM document_node WHERE node_type <> 'root'),
 k AS (SELECT *, length(t) - length(replace(t, '|', '')) >= 2 AND node_type <> 'heading' AS tab, max(CASE WHEN node_type = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS headed FROM d),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY node_index) AS idx FROM k WHERE headed = 1 AND NOT tab),
 p AS (SELECT n.*, coalesce((SELECT max(h.idx) FROM n h WHERE h.doc_id = n.doc_id AND h.idx < n.idx AND h.node_type = 'heading' AND (n.node_type <> 'heading' OR h.l < n.l)), 0) AS parent FROM n)
@@ -212,9 +212,14 @@ def doc_level_histogram(spark, sf):
     return O.level_histogram(O.outline_nodes(_outlines(spark, sf)))
 
 
-@query()
+@query(
+    _NODES
+    + """, w AS (SELECT doc_id, idx, 0 AS d, parent FROM p), r AS (WITH RECURSIVE up AS (SELECT doc_id, idx, CASE WHEN parent > 0 THEN 1 ELSE 0 END AS d, parent FROM w UNION ALL SELECT u.doc_id, u.idx, u.d + CASE WHEN q.parent > 0 THEN 1 ELSE 0 END, q.parent FROM up u JOIN p q ON q.doc_id = u.doc_id AND q.idx = u.parent) SELECT * FROM up WHERE parent = 0),
+t AS (SELECT p.doc_id, p.idx, repeat('  ', CAST(r.d + 1 AS INT)) || '[' || node_type || '] ' || CASE WHEN length(t) > 50 THEN left(t, 50) || '...' ELSE t END AS line FROM p JOIN r ON r.doc_id = p.doc_id AND r.idx = p.idx)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY idx) AS tree FROM t GROUP BY 1"""
+)
 def doc_tree_text(spark, sf):
-    return O.tree_text(O.outline_nodes(_outlines(spark, sf)))
+    return O.tree_text(O.outline_nodes(_outlines(spark, sf)).where("node_type <> 'root'"))
 
 
 def _leaf_chunks(spark, sf):
@@ -293,12 +298,20 @@ def _blocks(spark, sf):
     return d.select(F.col("file_id").alias("doc_id"), (F.floor(F.col("node_index") / 30) + 1).cast("int").alias("page"), F.col("node_index").alias("pos"), kind.alias("type"), "text", F.lit(None).cast("string").alias("rendered"))
 
 
-@query()
+_PAGES = """WITH b AS (SELECT doc_id, page, pos, type, trim(coalesce(text, '')) AS t, row_number() OVER w - 1 AS i, lead(type) OVER w AS nx, sum(CASE WHEN type = 'section_header' THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS sec FROM """ + """(SELECT DISTINCT file_id AS doc_id, CAST(floor(node_index / 30) + 1 AS INT) AS page, node_index AS pos, CASE WHEN node_type = 'heading' THEN 'section_header' WHEN length(text) < 60 THEN 'list_item' WHEN length(text) < 120 THEN 'text' ELSE 'paragraph' END AS type, text FROM document_node WHERE node_type <> 'root') WINDOW w AS (PARTITION BY doc_id, page ORDER BY pos)),
+l AS (SELECT *, CASE WHEN type = 'section_header' THEN chr(10) || CASE WHEN sec = 1 AND i < 3 THEN '# ' ELSE '## ' END || t || chr(10) WHEN type IN ('paragraph', 'text') AND ends_with(t, ':') AND nx = 'list_item' THEN chr(10) || t
+ WHEN type = 'paragraph' THEN chr(10) || '### ' || t || chr(10) WHEN type = 'list_item' THEN '- ' || t WHEN t <> '' THEN t END AS line FROM b),
+p AS (SELECT doc_id, page, coalesce(string_agg(line, chr(10) ORDER BY pos), '') AS text FROM l GROUP BY 1, 2)
+"""
+
+
+@query(_PAGES + "SELECT * FROM p")
 def report_pages(spark, sf):
     return R.page_markdown(_blocks(spark, sf))
 
 
-@query()
+@query(_PAGES + """, g AS (SELECT doc_id, unnest(range(1, mx + 1)) AS page FROM (SELECT doc_id, max(page) AS mx FROM p GROUP BY 1))
+SELECT doc_id, string_agg(chr(10) || chr(10) || '---' || chr(10) || chr(10) || '# Page ' || page || chr(10) || chr(10) || coalesce(text, ''), '' ORDER BY page) AS markdown FROM g LEFT JOIN p USING (doc_id, page) GROUP BY 1""")
 def report_markdown(spark, sf):
     return R.report_markdown(R.fill_pages(R.page_markdown(_blocks(spark, sf))))
 
@@ -543,7 +556,7 @@ def catalog_columns(spark, sf):
     return K.catalog_columns(spark.createDataFrame(_CATALOG, "Table string, Description string, Fields string"))
 
 
-@query()
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(q, '{words}') THEN '{name}'" for name, words in Q.ROUTES) + f" ELSE '{Q.RETRIEVAL}' END AS tool FROM (SELECT doc_id, lower(coalesce(title, '')) AS q FROM documents)")
 def router_routes(spark, sf):
     """Tools for every document's title as a question."""
     d = read(spark, sf, "documents")
