@@ -38,8 +38,8 @@ def content_lines(lines: DataFrame) -> DataFrame:
     return lines.where((F.col("content") != "") & ~F.col("content").startswith("Outline"))
 
 
-def outline_nodes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, node_idx, parent_idx, level, node_type, text, tables).
+def outline_nodes(docs: DataFrame, doc: str = "doc_id", text: str = "text", paths: bool = False) -> DataFrame:
+    """(doc_id, node_idx, parent_idx, level, node_type, text, tables), and path_titles if ``paths``.
 
     Node 0 is the root. Every heading is a node; a paragraph line opens a
     paragraph node, to which other lines are added; text before any heading and
@@ -67,42 +67,44 @@ def outline_nodes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     body = body.select("doc_id", "node_idx", "head_level", F.array_join(F.transform("rows", lambda x: x["content"]), "\n").alias("text"), tables.alias("tables"))
     roots = docs.select(F.col(doc).alias("doc_id"), F.lit(0).alias("node_idx")).distinct()
     nodes = roots.join(body, ["doc_id", "node_idx"], "left").unionByName(body.where("node_idx > 0"), allowMissingColumns=True)
-    # a heading's parent comes from the fold over its document's headings, a paragraph's is the last heading before it
-    heads = fold_headings(nodes.where("head_level is not null").select("doc_id", "node_idx", F.col("head_level").alias("level"), "text")).select("doc_id", "node_idx", "parent")
-    order = Window.partitionBy("doc_id").orderBy("node_idx").rowsBetween(Window.unboundedPreceding, -1)
-    nodes = nodes.join(heads, ["doc_id", "node_idx"], "left").withColumn("last", F.max(F.when(F.col("head_level").isNotNull(), F.col("node_idx"))).over(order))
-    parent = F.when(F.col("head_level").isNotNull(), F.col("parent")).otherwise(F.coalesce("last", F.lit(0)))
-    return nodes.select(
-        "doc_id", "node_idx", F.when(F.col("node_idx") > 0, parent).cast("int").alias("parent_idx"),
-        F.when(F.col("node_idx") == 0, 0).otherwise(F.coalesce("head_level", F.lit(PARAGRAPH_LEVEL))).alias("level"),
-        F.when(F.col("node_idx") == 0, "root").when(F.col("head_level").isNotNull(), "heading").otherwise("paragraph").alias("node_type"),
-        F.coalesce("text", F.lit("")).alias("text"), "tables",
+    # all of a document's nodes in one array: windows, groups and fold share the partitioning by document
+    rows = F.array_sort(F.collect_list(F.struct("node_idx", F.col("head_level").alias("level"), F.coalesce("text", F.lit("")).alias("text"), "tables")))
+    folded = nodes.groupBy("doc_id").agg(rows.alias("r")).select("doc_id", F.explode(F.arrays_zip(F.col("r").alias("n"), fold_nodes(F.col("r")).alias("f"))).alias("x"))
+    level = F.col("x.n.level")
+    out = folded.select(
+        "doc_id", "x.n.node_idx", F.when(F.col("x.n.node_idx") > 0, F.col("x.f.parent")).alias("parent_idx"),
+        F.when(F.col("x.n.node_idx") == 0, 0).otherwise(F.coalesce(level, F.lit(PARAGRAPH_LEVEL))).alias("level"),
+        F.when(F.col("x.n.node_idx") == 0, "root").when(level.isNotNull(), "heading").otherwise("paragraph").alias("node_type"),
+        F.col("x.n.text").alias("text"), F.col("x.n.tables").alias("tables"), F.col("x.f.titles").alias("path_titles"),
     )
+    return out if paths else out.drop("path_titles")
 
 
-def fold_headings(heads: DataFrame) -> DataFrame:
-    """(doc_id, node_idx, parent, titles) of headings (doc_id, node_idx, level, text): one fold over a document's headings in order, which keeps the stack of those that enclose the next; titles are from the outermost to the heading itself. Levels may be any numbers."""
+def fold_nodes(rows: Column) -> Column:
+    """Parent and titles, from the outermost to the node itself if it is a heading, of each of a document's nodes (node_idx, level, text, ...) in order, level being null but for headings: one fold that keeps the stack of headings that enclose the next node. Levels may be any numbers."""
     open_ = "array<struct<node_idx:int,level:int,text:string>>"
-    state = f"struct<stack:{open_},out:array<struct<node_idx:int,parent:int,titles:array<string>>>>"
-    rows = F.array_sort(F.collect_list(F.struct(F.col("node_idx").cast("int").alias("node_idx"), F.col("level").cast("int").alias("level"), F.coalesce("text", F.lit("")).alias("text"))))
-    empty = F.struct(F.array().cast(open_).alias("stack"), F.array().cast("array<struct<node_idx:int,parent:int,titles:array<string>>>").alias("out")).cast(state)
+    each = "struct<parent:int,titles:array<string>>"
+    state = f"struct<stack:{open_},out:array<{each}>>"
+    empty = F.struct(F.array().cast(open_).alias("stack"), F.array().cast(f"array<{each}>").alias("out")).cast(state)
 
     def step(s: Column, x: Column) -> Column:
-        above = F.filter(s["stack"], lambda y: y["level"] < x["level"])
-        parent = F.coalesce(F.try_element_at(above, F.lit(-1))["node_idx"], F.lit(0))
-        titles = F.concat(F.transform(above, lambda y: y["text"]), F.array(x["text"]))
-        return F.struct(F.concat(above, F.array(x)).alias("stack"), F.concat(s["out"], F.array(F.struct(x["node_idx"].alias("node_idx"), parent.alias("parent"), titles.alias("titles")))).alias("out")).cast(state)
+        above = F.when(x["level"].isNull(), s["stack"]).otherwise(F.filter(s["stack"], lambda y: y["level"] < x["level"]))
+        own = F.when(x["level"].isNull(), F.array().cast(open_)).otherwise(F.array(F.struct(x["node_idx"].alias("node_idx"), x["level"].alias("level"), x["text"].alias("text"))).cast(open_))
+        stack = F.concat(above, own)
+        got = F.struct(F.coalesce(F.try_element_at(above, F.lit(-1))["node_idx"], F.lit(0)).alias("parent"), F.transform(stack, lambda y: y["text"]).alias("titles")).cast(each)
+        return F.struct(stack.alias("stack"), F.concat(s["out"], F.array(got)).alias("out")).cast(state)
 
-    folded = heads.groupBy("doc_id").agg(rows.alias("r")).select("doc_id", F.explode(F.aggregate("r", empty, step, lambda s: s["out"])).alias("h"))
-    return folded.select("doc_id", "h.*")
+    return F.aggregate(rows, empty, step, lambda s: s["out"])
 
 
 def path_titles(nodes: DataFrame) -> DataFrame:
     """``nodes`` with path_titles, the headings from the outermost to the node itself if it is one (J12); a paragraph has those of the heading it is under."""
-    titles = fold_headings(nodes.where("node_type = 'heading'")).select("doc_id", F.col("node_idx").alias("_head"), "titles")
-    head = F.when(F.col("node_type") == "heading", F.col("node_idx")).otherwise(F.col("parent_idx"))
-    empty = F.array().cast("array<string>")
-    return nodes.withColumn("_head", head).join(titles, ["doc_id", "_head"], "left").withColumn("path_titles", F.coalesce("titles", empty)).drop("_head", "titles")
+    if "path_titles" in nodes.columns:
+        return nodes
+    head = F.when(F.col("node_type") == "heading", F.col("level"))
+    rows = F.array_sort(F.collect_list(F.struct("node_idx", head.alias("level"), F.coalesce("text", F.lit("")).alias("text"))))
+    folded = nodes.groupBy("doc_id").agg(rows.alias("r")).select("doc_id", F.explode(F.arrays_zip(F.col("r").alias("n"), fold_nodes(F.col("r")).alias("f"))).alias("x"))
+    return nodes.join(folded.select("doc_id", F.col("x.n.node_idx").alias("node_idx"), F.col("x.f.titles").alias("path_titles")), ["doc_id", "node_idx"])
 
 
 def leaf_nodes(nodes: DataFrame) -> DataFrame:

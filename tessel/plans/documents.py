@@ -49,7 +49,7 @@ def process_documents(docs: DataFrame, out: str, options: Options = Options()) -
     if options.incremental and W.exists(spark, f"{out}/chunks_json"):
         done = spark.read.json(f"{out}/chunks_json").select(F.col("doc_id").cast("string").alias("key")).distinct()
         docs = not_yet_done(docs.withColumn("key", F.col("doc_id").cast("string")), [done], "key").drop("key")
-    nodes = cut(O.outline_nodes(docs), "nodes")
+    nodes = cut(O.outline_nodes(docs, paths=True), "nodes")
     found = {"nodes": nodes}
     if options.full_text:
         W.write_texts(docs, "text", f"{out}/texts")

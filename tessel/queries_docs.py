@@ -188,7 +188,7 @@ def doc_outline_nodes(spark, sf):
 SELECT doc_id, CAST(idx AS INT) AS node_idx, array_to_string(path, ' > ') AS path FROM r"""
 )
 def doc_path_titles(spark, sf):
-    return O.path_titles(O.outline_nodes(_outlines(spark, sf))).where("node_type <> 'root'").select("doc_id", "node_idx", F.array_join("path_titles", " > ").alias("path"))
+    return O.path_titles(O.outline_nodes(_outlines(spark, sf), paths=True)).where("node_type <> 'root'").select("doc_id", "node_idx", F.array_join("path_titles", " > ").alias("path"))
 
 
 @query(_NODES + "SELECT p.doc_id, CAST(p.idx AS INT) AS node_idx FROM p ANTI JOIN p c ON c.doc_id = p.doc_id AND c.parent = p.idx")
@@ -219,11 +219,11 @@ t AS (SELECT p.doc_id, p.idx, repeat('  ', CAST(r.d + 1 AS INT)) || '[' || node_
 SELECT doc_id, string_agg(line, chr(10) ORDER BY idx) AS tree FROM t GROUP BY 1"""
 )
 def doc_tree_text(spark, sf):
-    return O.tree_text(O.outline_nodes(_outlines(spark, sf)).where("node_type <> 'root'"))
+    return O.tree_text(O.outline_nodes(_outlines(spark, sf), paths=True).where("node_type <> 'root'"))
 
 
 def _leaf_chunks(spark, sf):
-    return C.leaf_chunks(O.leaf_texts(O.outline_nodes(_outlines(spark, sf))))
+    return C.leaf_chunks(O.leaf_texts(O.outline_nodes(_outlines(spark, sf), paths=True)))
 
 
 @query()
