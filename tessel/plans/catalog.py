@@ -57,7 +57,7 @@ def select_tables(catalog: DataFrame, question: str) -> list[str]:
     import re
 
     q = question.lower()
-    keys = set(re.findall(r"[a-z_]{3,}", q)) | {a + b for a, b in zip(q, q[1:], strict=False) if "一" <= a <= "鿿" and "一" <= b <= "鿿"}
+    keys = set(re.findall(r"[a-z_][a-z_0-9]{2,}", q)) | {a + b for a, b in zip(q, q[1:], strict=False) if "一" <= a <= "鿿" and "一" <= b <= "鿿"}
     words = F.array(*[F.lit(k) for k in sorted(keys)]) if keys else F.array().cast("array<string>")
     text = F.lower(F.concat_ws(" ", "Table", "Description", "Fields"))
     rows = catalog.select("Table", F.size(F.filter(words, lambda w: F.contains(text, w))).alias("n")).collect()  # a catalog is a handful of tables

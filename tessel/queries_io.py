@@ -20,7 +20,7 @@ from tessel.plans import catalog as K
 from tessel.plans import router as Q
 from tessel.plans.lineage import fresh_path, keep_table
 from tessel.plans.sql import ask, reading_session
-from tessel.queries_docs import _KIDS, _outlines, read
+from tessel.queries_docs import _KIDS, _NODES as _TREE, _outlines, read
 from tessel.sources import files as S
 from tessel.sources import sinks as W
 from tessel.sources.tool_specs import read_specs
@@ -644,3 +644,68 @@ def io_pipeline(spark, sf):
     at = fresh_path(spark, "pipeline")
     process_documents(_outlines(spark, sf), at, Options(full_text=False, tree=False, chunk_files=False, merge_paths=True))
     return spark.read.json(f"{at}/statistics").select("doc_id", "total_nodes", "heading_nodes")
+
+
+# trees and chunks ------------------------------------------------------------------------
+
+_LEAF = (
+    _TREE
+    + """, up AS (WITH RECURSIVE u AS (SELECT doc_id, idx, CASE WHEN node_type = 'heading' THEN [t] ELSE CAST([] AS VARCHAR[]) END AS path, parent FROM p UNION ALL SELECT u.doc_id, u.idx, list_prepend(q.t, u.path), q.parent FROM u JOIN p q ON q.doc_id = u.doc_id AND q.idx = u.parent) SELECT doc_id, idx, path FROM u WHERE parent = 0),
+leaf AS (SELECT p.doc_id, p.idx, p.t, array_to_string(up.path, ' > ') AS path FROM p JOIN up ON up.doc_id = p.doc_id AND up.idx = p.idx ANTI JOIN p c ON c.doc_id = p.doc_id AND c.parent = p.idx WHERE trim(p.t) <> ''),
+"""
+)
+
+
+@query(_LEAF + "z AS (SELECT 1) SELECT doc_id, CAST(idx AS INT) AS node_idx, length(t) AS n, md5(path) AS path, true AS covered FROM leaf")
+def doc_leaf_cover(spark, sf):
+    """The chunks of every leaf, in order, under its titles, hold all of its text."""
+    c = C.leaf_chunks(O.leaf_texts(O.outline_nodes(_outlines(spark, sf), paths=True)))
+    path = F.array_join("path_titles", " > ")
+    per = c.groupBy("doc_id", "node_idx").agg(F.first("original_text_length").cast("long").alias("n"), F.first(path).alias("path"), F.sum("chunk_text_length").alias("all"), F.count_distinct("chunk_index").alias("k"), F.max("chunk_index").alias("last"), F.min(F.startswith(F.col("content"), path).cast("int")).alias("titled"), F.max("chunk_text_length").alias("longest"))
+    return per.select("doc_id", "node_idx", "n", F.md5(F.col("path").cast("binary")).alias("path"), ((F.col("all") >= F.col("n")) & (F.col("k") == F.col("last") + 1) & (F.col("titled") == 1) & (F.col("longest") <= 4096 + 602)).alias("covered"))
+
+
+@query(_LEAF + "m AS (SELECT doc_id, path, min(idx) AS a, max(idx) AS b FROM leaf GROUP BY 1, 2) SELECT doc_id, md5(path) AS path, CAST(a AS INT) AS first_node, CAST(b AS INT) AS last_node, 'path_merged_' || a || '_to_' || b AS chunk_id FROM m")
+def doc_merged_paths(spark, sf):
+    """One group a path, with its first and last node."""
+    m = C.merge_by_path(C.leaf_chunks(O.leaf_texts(O.outline_nodes(_outlines(spark, sf), paths=True))))
+    return m.select("doc_id", F.md5(F.array_join("path_titles", " > ").cast("binary")).alias("path"), "first_node", "last_node", "chunk_id").distinct()
+
+
+@query(_TREE + "SELECT doc_id, CAST(idx AS INT) AS node_idx, length(t) AS n FROM p WHERE trim(t) <> ''")
+def doc_content_nodes(spark, sf):
+    """nodes with text, a root only where it is all there is."""
+    nodes = O.outline_nodes(_outlines(spark, sf))
+    return O.content_nodes(nodes).where("node_type <> 'root'").select("doc_id", "node_idx", F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT n_nationkey AS id, md5('| k | ' || n_nationkey || ' |' || chr(10) || '| name | ' || n_name || ' |') AS hash, 'after' AS position FROM nation")
+def doc_node_tables(spark, sf):
+    """Runs of piped lines as tables of the node before them."""
+    k, n = F.col("n_nationkey").cast("string"), F.col("n_name")
+    text = F.concat(F.lit("Heading 1: "), n, F.lit("\nParagraph: before\n| k | "), k, F.lit(" |\n| name | "), n, F.lit(" |\nParagraph: after"))
+    nodes = O.outline_nodes(read(spark, sf, "nation").select(F.col("n_nationkey").alias("doc_id"), text.alias("text")))
+    t = nodes.select("doc_id", F.explode("tables").alias("t"))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
+    return t.select(F.col("doc_id").alias("id"), F.md5(F.array_join(F.transform("t.rows", line), "\n").cast("binary")).alias("hash"), "t.position")
+
+
+@query("SELECT 'tables of ' || n_name AS question, n_name AS tables FROM nation")
+def catalog_selected(spark, sf):
+    """The tables of a catalog that a question names."""
+    n = read(spark, sf, "nation").select(F.col("n_name").alias("Table"), F.lit("").alias("Description"), F.lit(None).cast("string").alias("Fields"))
+    asked = [r["Table"] for r in n.collect()]  # 25 rows
+    return spark.createDataFrame([(f"tables of {t}", K.select_tables(n, f"tables of {t}")[0]) for t in asked], "question string, tables string")
+
+
+@query("SELECT 'tool_' || n_nationkey AS name, CASE WHEN n_regionkey < 3 THEN 'http' ELSE 'local' END AS type, false AS has_http, 503 AS status FROM nation WHERE n_regionkey < 3 UNION ALL SELECT 'tool_' || n_nationkey, 'local', false, 200 FROM nation WHERE n_regionkey >= 3")
+def tool_catalog(spark, sf):
+    """Tools for a prompt without their HTTP settings, and the status of a call of each."""
+    r = Q.Registry()
+    for x in read(spark, sf, "nation").collect():  # 25 rows
+        name = f"tool_{x['n_nationkey']}"
+        if x["n_regionkey"] < 3:
+            r.register_http({"name": name, "description": x["n_name"], "http_config": {"url": "http://host"}})
+        else:
+            r.register(name, lambda: 1)
+    return spark.createDataFrame([(t["name"], t["type"], "http_config" in t, r.call(t["name"], {})["status_code"]) for t in r.catalog()], "name string, type string, has_http boolean, status int")
