@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from tessel.functions.text import clean_glyphs, ends_with_colon
 
-#: Block kinds that are left out, and those printed as plain lines.
+#: Block kinds that are left out.
 IGNORED = ("page_footer", "picture")
-PLAIN = ("text", "caption", "footnote", "checkbox_selected", "checkbox_unselected", "formula")
 
 _BLOCK = "struct<text:string,type:string,text_id:int,orig:string,enumerated:boolean,marker:string,table_id:int,picture_id:int,group_id:int,group_name:string,group_label:string>"
 REPORT_DDL = (
@@ -55,31 +54,41 @@ def with_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
 def page_markdown(blocks: DataFrame) -> DataFrame:
     """(doc_id, page, text): the formatting rules of a page (D17, D18, W4-W6, C8), glyph codes cleaned.
 
-    Headers become # or ##, paragraphs ###; a block that ends in a colon before
-    a table or a list heads that group; tables are followed by their footnotes;
-    list items by -; code is fenced. ``rendered`` holds tables' Markdown.
+    Headers become # or ##, paragraphs ###, code is fenced, other text stands on
+    a line; blank text is left out. A table, or a run of list items, forms a group
+    with the block before it if that ends in a colon and is no header, and with the
+    footnotes after it, also behind one text; a group is set off by blank lines.
+    ``rendered`` holds tables' Markdown.
     """
     page = Window.partitionBy("doc_id", "page").orderBy("pos")
-    b = filter_blocks(blocks).withColumn("i", F.row_number().over(page) - 1)
-    b = b.withColumn("t", F.trim(F.coalesce("text", F.lit("")))).withColumn("next", F.lead("type").over(page)).withColumn("prev", F.lag("type").over(page))
-    whole = Window.partitionBy("doc_id", "page")
-    b = b.withColumn("page_headed", F.coalesce(F.max((F.col("type") == "page_header") & (F.col("i") < 3)).over(whole), F.lit(False)))
-    b = b.withColumn("section", F.count_if(F.col("type") == "section_header").over(page.rowsBetween(Window.unboundedPreceding, 0)))
-    heads = ends_with_colon(F.col("t"), F.col("type")) & F.col("next").isin("table", "list_item")
-    kind = F.col("type")
-    line = (
-        F.when(kind == "page_header", F.concat(F.when(F.col("i") < 3, F.lit("\n# ")).otherwise(F.lit("\n## ")), "t", F.lit("\n")))
-        .when(kind == "section_header", F.concat(F.when((F.col("section") == 1) & (F.col("i") < 3) & ~F.col("page_headed"), F.lit("\n# ")).otherwise(F.lit("\n## ")), "t", F.lit("\n")))
-        .when(heads, F.concat(F.lit("\n"), "t"))
-        .when(kind == "paragraph", F.concat(F.lit("\n### "), "t", F.lit("\n")))
-        .when(kind == "table", F.concat(F.lit("\n"), F.coalesce("rendered", F.lit("")), F.lit("\n")))
-        .when(kind == "list_item", F.concat(F.lit("- "), "t"))
-        .when(kind == "code", F.concat(F.lit("```\n"), "t", F.lit("\n```")))
+    upto = page.rowsBetween(Window.unboundedPreceding, 0)
+    kind, prev, anchors = F.coalesce("type", F.lit("")), lambda n: F.coalesce(F.lag("type", n).over(page), F.lit("")), ("table", "list_item")
+    following = F.coalesce(F.lead("type").over(page), F.lit(""))
+    b = filter_blocks(blocks).withColumn("i", F.row_number().over(page) - 1).withColumn("t", F.trim(F.coalesce("text", F.lit(""))))
+    b = b.withColumn("page_headed", F.coalesce(F.max((F.col("type") == "page_header") & (F.col("i") < 3)).over(Window.partitionBy("doc_id", "page")), F.lit(False)))
+    b = b.withColumn("section", F.count_if(kind == "section_header").over(upto))
+    b = b.withColumn("heads", ends_with_colon(F.col("t"), kind) & ~kind.isin("section_header", "page_header") & following.isin(*anchors))
+    b = b.withColumn("led", (kind == "text") & prev(1).isin(*anchors) & (following == "footnote"))
+    run_start = (kind == "footnote") & (prev(1) != "footnote")
+    b = b.withColumn("noted", F.last(F.when(run_start, prev(1).isin(*anchors) | F.coalesce(F.lag("led").over(page), F.lit(False))), ignorenulls=True).over(upto))
+    b = b.withColumn("member", F.col("heads") | kind.isin(*anchors) | F.col("led") | ((kind == "footnote") & F.coalesce("noted", F.lit(False))))
+    opens = F.col("heads") | (((kind == "table") | ((kind == "list_item") & (prev(1) != "list_item"))) & ~F.coalesce(F.lag("heads").over(page), F.lit(False)))
+    b = b.withColumn("item", F.sum(F.when(opens | ~F.col("member"), 1).otherwise(0)).over(upto))
+    top = ((kind == "page_header") & (F.col("i") < 3)) | ((kind == "section_header") & (F.col("section") == 1) & (F.col("i") < 3) & ~F.col("page_headed"))
+    piece = (
+        F.when(F.col("member") & (kind == "table"), F.coalesce("rendered", F.lit("")))
+        .when(F.col("member") & (kind == "list_item"), F.concat(F.lit("- "), "t"))
+        .when(F.col("member"), F.col("t"))
+        .when(kind.isin("page_header", "section_header"), F.concat(F.when(top, "\n# ").otherwise("\n## "), "t"))
+        .when(kind == "paragraph", F.concat(F.lit("\n### "), "t"))
+        .when((kind == "code") & (F.col("t") != ""), F.concat(F.lit("```\n"), "t", F.lit("\n```")))
         .when(F.col("t") != "", F.col("t"))
     )
-    rows = F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct("pos", line.alias("line")))))
-    text = F.array_join(F.transform(rows, lambda r: r["line"]), "\n")
-    return b.groupBy("doc_id", "page").agg(clean_glyphs(text).alias("text"))
+    rows = F.transform(F.array_sort(F.collect_list(F.when(piece.isNotNull(), F.struct("pos", piece.alias("piece"))))), lambda r: F.concat(r["piece"], F.lit("\n")))
+    edge = F.when(F.first("member"), "\n").otherwise("")
+    items = b.groupBy("doc_id", "page", "item").agg(F.size(rows).alias("n"), F.concat(edge, F.array_join(rows, ""), edge).alias("text"))
+    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("item", "text")))), lambda r: r["text"])
+    return items.groupBy("doc_id", "page").agg(clean_glyphs(F.array_join(lines, "\n")).alias("text"))
 
 
 def runs(kind: Column, order: Window) -> Column:

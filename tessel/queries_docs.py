@@ -298,10 +298,12 @@ def _blocks(spark, sf):
     return d.select(F.col("file_id").alias("doc_id"), (F.floor(F.col("node_index") / 30) + 1).cast("int").alias("page"), F.col("node_index").alias("pos"), kind.alias("type"), "text", F.lit(None).cast("string").alias("rendered"))
 
 
-_PAGES = """WITH b AS (SELECT doc_id, page, pos, type, trim(coalesce(text, '')) AS t, row_number() OVER w - 1 AS i, lead(type) OVER w AS nx, sum(CASE WHEN type = 'section_header' THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS sec FROM """ + """(SELECT DISTINCT file_id AS doc_id, CAST(floor(node_index / 30) + 1 AS INT) AS page, node_index AS pos, CASE WHEN node_type = 'heading' THEN 'section_header' WHEN length(text) < 60 THEN 'list_item' WHEN length(text) < 120 THEN 'text' ELSE 'paragraph' END AS type, text FROM document_node WHERE node_type <> 'root') WINDOW w AS (PARTITION BY doc_id, page ORDER BY pos)),
-l AS (SELECT *, CASE WHEN type = 'section_header' THEN chr(10) || CASE WHEN sec = 1 AND i < 3 THEN '# ' ELSE '## ' END || t || chr(10) WHEN type IN ('paragraph', 'text') AND ends_with(t, ':') AND nx = 'list_item' THEN chr(10) || t
- WHEN type = 'paragraph' THEN chr(10) || '### ' || t || chr(10) WHEN type = 'list_item' THEN '- ' || t WHEN t <> '' THEN t END AS line FROM b),
-p AS (SELECT doc_id, page, coalesce(string_agg(line, chr(10) ORDER BY pos), '') AS text FROM l GROUP BY 1, 2)
+_PAGES = """WITH b AS (SELECT doc_id, page, pos, type, trim(coalesce(text, '')) AS t, row_number() OVER w - 1 AS i, lead(type) OVER w AS nx, lag(type) OVER w AS pv, sum(CASE WHEN type = 'section_header' THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS sec FROM (SELECT DISTINCT file_id AS doc_id, CAST(floor(node_index / 30) + 1 AS INT) AS page, node_index AS pos, CASE WHEN node_type = 'heading' THEN 'section_header' WHEN length(text) < 60 THEN 'list_item' WHEN length(text) < 120 THEN 'text' ELSE 'paragraph' END AS type, text FROM document_node WHERE node_type <> 'root') WINDOW w AS (PARTITION BY doc_id, page ORDER BY pos)),
+h AS (SELECT *, type IN ('paragraph', 'text') AND ends_with(t, ':') AND coalesce(nx, '') = 'list_item' AS heads FROM b), m AS (SELECT *, heads OR type = 'list_item' AS member, coalesce(lag(heads) OVER (PARTITION BY doc_id, page ORDER BY pos), false) AS headed FROM h),
+i AS (SELECT *, sum(CASE WHEN heads OR (type = 'list_item' AND coalesce(pv, '') <> 'list_item' AND NOT headed) OR NOT member THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY pos ROWS UNBOUNDED PRECEDING) AS item,
+ CASE WHEN type = 'section_header' THEN chr(10) || CASE WHEN sec = 1 AND i < 3 THEN '# ' ELSE '## ' END || t WHEN type = 'list_item' THEN '- ' || t WHEN type = 'paragraph' AND NOT heads THEN chr(10) || '### ' || t WHEN t <> '' OR heads THEN t END AS piece FROM m),
+g AS (SELECT doc_id, page, item, CASE WHEN bool_or(member) THEN chr(10) ELSE '' END AS e, string_agg(piece || chr(10), '' ORDER BY pos) AS x FROM i GROUP BY 1, 2, 3),
+p AS (SELECT doc_id, page, coalesce(string_agg(e || x || e, chr(10) ORDER BY item), '') AS text FROM g GROUP BY 1, 2)
 """
 
 
@@ -310,8 +312,8 @@ def report_pages(spark, sf):
     return R.page_markdown(_blocks(spark, sf))
 
 
-@query(_PAGES + """, g AS (SELECT doc_id, unnest(range(1, mx + 1)) AS page FROM (SELECT doc_id, max(page) AS mx FROM p GROUP BY 1))
-SELECT doc_id, string_agg(chr(10) || chr(10) || '---' || chr(10) || chr(10) || '# Page ' || page || chr(10) || chr(10) || coalesce(text, ''), '' ORDER BY page) AS markdown FROM g LEFT JOIN p USING (doc_id, page) GROUP BY 1""")
+@query(_PAGES + """, every AS (SELECT doc_id, unnest(range(1, mx + 1)) AS page FROM (SELECT doc_id, max(page) AS mx FROM p GROUP BY 1))
+SELECT doc_id, string_agg(chr(10) || chr(10) || '---' || chr(10) || chr(10) || '# Page ' || page || chr(10) || chr(10) || coalesce(text, ''), '' ORDER BY page) AS markdown FROM every LEFT JOIN p USING (doc_id, page) GROUP BY 1""")
 def report_markdown(spark, sf):
     return R.report_markdown(R.fill_pages(R.page_markdown(_blocks(spark, sf))))
 

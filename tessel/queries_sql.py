@@ -68,6 +68,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
         "SELECT c_custkey, c_name FROM customer WHERE c_name REGEXP 'customer#0+1[0-9]*$' AND c_mktsegment NOT REGEXP '^B'",
         "SELECT c_custkey, c_name FROM customer WHERE regexp_matches(c_name, '(?i)customer#0+1[0-9]*$') AND NOT regexp_matches(c_mktsegment, '(?i)^B')",
     ),
+    "sql_approximate": ("SELECT l_returnflag, ABS(APPROX_COUNT_DISTINCT(l_partkey) - COUNT(DISTINCT l_partkey)) <= 0.2 * COUNT(DISTINCT l_partkey) AS near FROM lineitem GROUP BY l_returnflag", None),
     "sql_cross_join": ("SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n WHERE n.n_regionkey <> r.r_regionkey", None),
     "sql_join_using": ("SELECT a.k, a.n AS n_orders, b.n AS n_lines FROM (SELECT o_orderkey AS k, COUNT(*) AS n FROM orders GROUP BY o_orderkey) a JOIN (SELECT l_orderkey AS k, COUNT(*) AS n FROM lineitem GROUP BY l_orderkey) b USING (k)", None),
     "sql_except_parts": ("SELECT s_nationkey * 7 AS k FROM supplier EXCEPT SELECT n_nationkey FROM nation", None),

@@ -69,7 +69,22 @@ def test_report_pages(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps(report))
     r = read_reports(spark, str(tmp_path / "r.json"))
     b = with_tables(filter_blocks(blocks_of(r)), tables_of(r))
-    assert page_markdown(b).first().text == "\n# H\n\n\n## S\n\n\nList:\n- a\n- b\n\n### P\n\n\nTable:\n\n| x |\n\nn"
+    assert page_markdown(b).first().text == "\n# H\n\n\n## S\n\n\nList:\n- a\n- b\n\n\n\n### P\n\n\nTable:\n| x |\nn\n\n"
+
+
+def test_groups_of_a_page(spark):
+    def page(*blocks):
+        rows = [("d", 1, i, t, x, "| m |" if t == "table" else None) for i, (t, x) in enumerate(blocks)]
+        return page_markdown(spark.createDataFrame(rows, "doc_id string, page int, pos int, type string, text string, rendered string")).first().text
+
+    # text behind a table belongs to it only where a footnote follows, and all footnotes do
+    assert page(("table", None), ("text", "t"), ("footnote", "f"), ("footnote", "g"), ("text", "u")) == "\n| m |\nt\nf\ng\n\n\nu\n"
+    assert page(("table", None), ("text", "t"), ("text", "u"), ("footnote", "f")) == "\n| m |\n\n\nt\n\nu\n\nf\n"
+    assert page(("list_item", "a"), ("list_item", "b"), ("footnote", "f"), ("list_item", "c")) == "\n- a\n- b\nf\n\n\n\n- c\n\n"
+    # two tables are two groups; a header with a colon heads none; blank text goes, code is fenced
+    assert page(("table", None), ("table", None)) == "\n| m |\n\n\n\n| m |\n\n"
+    assert page(("section_header", "S:"), ("list_item", "a"), ("text", " "), ("code", "x = 1")) == "\n# S:\n\n\n- a\n\n\n```\nx = 1\n```\n"
+    assert page(("text", "")) == "" and page((None, "odd")) == "odd\n"
 
 
 def test_chunk_folds(spark):

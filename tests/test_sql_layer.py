@@ -93,3 +93,9 @@ def test_http_requests():
     r = Registry(send=lambda q: q.method, headers={"K": "v"})
     r.register_http(spec)
     assert r.call("t", {})["result"] == "POST"
+
+
+def test_questions_at_the_terminal():
+    from tessel.__main__ import questions
+
+    assert list(questions([" a \n", "\n", "b", "Exit", "c"])) == ["a", "b"] and list(questions(["退出"])) == []
