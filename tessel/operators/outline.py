@@ -150,9 +150,9 @@ def tree_text(nodes: DataFrame, preview: int = 50) -> DataFrame:
     return t.groupBy("doc_id").agg(rows.alias("r")).select("doc_id", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("tree"))
 
 
-def leaf_texts(nodes: DataFrame) -> DataFrame:
+def leaf_texts(nodes: DataFrame, cut: Cut | None = None) -> DataFrame:
     """What chunking starts from: leaf nodes with text and their paths (D7); where a document has none, its nodes with content."""
-    t = Cut(nodes.sparkSession)(path_titles(nodes), "paths")
+    t = (cut or Cut(nodes.sparkSession))(path_titles(nodes), "paths")
     leaves = leaf_nodes(t).where(F.trim("text") != "")
     none = content_nodes(t).join(leaves.select("doc_id").distinct(), "doc_id", "left_anti")
     return leaves.unionByName(none)

@@ -110,7 +110,7 @@ def references_of(events: DataFrame, fields: dict[str, str], row_id: str, time:
     return events.select(F.col(row_id).alias("id"), t.alias("t"), F.explode(F.array(*refs)).alias("r")).select("id", "t", "r.field", "r.kind", "r.raw").where(~is_blank(F.col("raw")))
 
 
-def orphan_references(events: DataFrame, fields: dict[str, str], row_id: str, time: str, parents: list[DataFrame], deletions: DataFrame) -> DataFrame:
+def orphan_references(events: DataFrame, fields: dict[str, str], row_id: str, time: str, parents: list[DataFrame], deletions: DataFrame, cut: Cut | None = None) -> DataFrame:
     """(id, field, kind, t, reason): one row per event and unsound reference, events told apart by ``row_id``.
 
     ``fields`` maps reference columns to kinds; ``parents`` come from
@@ -120,7 +120,7 @@ def orphan_references(events: DataFrame, fields: dict[str, str], row_id: str, ti
     make every reference missing; other columns are never read.
     """
     refs = references_of(events, fields, row_id, time)
-    cut = Cut(events.sparkSession)
+    cut = cut or Cut(events.sparkSession)
     keys = small_side(cut(unsound_keys(refs.select("kind", "raw", "t"), reduce(DataFrame.unionByName, parents), deletions), "unsound"))
     reason = (
         F.when(F.col("missing"), MISSING)

@@ -48,17 +48,34 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 class Cut:
-    """The tables an operator has written; ``free`` drops those no longer read."""
+    """The tables an operator has written; ``free`` drops those no longer read.
+
+    Results read these tables when they are run, so an operator can't drop the
+    last ones itself. A caller who passes a Cut of their own drops them all, once
+    the result is written, with ``close`` or by using it in a with statement; the
+    others stay until the program ends.
+    """
+
+    def __enter__(self) -> Cut:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        for path in self.paths:
+            drop_path(self.spark, path)
+        self.paths.clear()
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
+        self.paths: set[str] = set()
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh_path(self.spark, name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths.add(path)
         out._tessel_path = path
         return out
 
@@ -70,8 +87,9 @@ class Cut:
 
     def free(self, *dfs: DataFrame) -> None:
         for df in dfs:
-            path = self.paths.pop(id(df), None)
-            if path:
+            path = df.__dict__.get("_tessel_path")
+            if path in self.paths:
+                self.paths.discard(path)
                 drop_path(self.spark, path)
 
 

@@ -33,3 +33,20 @@ def test_long_and_hot_keys(spark):
     long = "K" * 50_000
     events = [ev(str(i), "HOT") for i in range(500)] + [ev("l", long)]
     assert run(spark, events, [(long, None, None)]) == {(str(i), "a"): "missing" for i in range(500)}
+
+
+def test_tables_go_with_their_cut(spark):
+    from pyspark.errors import AnalysisException
+
+    from tessel.plans.lineage import Cut
+    from tessel.sources.sinks import exists
+
+    with Cut(spark) as cut:
+        at = cut(spark.range(3), "one")._tessel_path
+        cut(spark.range(3), "two")
+        assert exists(spark, at) and len(cut.paths) == 2
+    assert not exists(spark, at) and not cut.paths
+    import pytest
+
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(at)
