@@ -15,7 +15,8 @@ curvature are sums over all documents,
     sum r_i t_i  and  sum r_i (1 - r_i / R) t_i^2,
 
 and each step is one distributed aggregation for all mixes and sources at once,
-over the documents counted by source and length. A step that leaves the
+over the documents counted by source and length. The first step starts within the
+interval that one such aggregation over a grid of tilts finds; a step that leaves the
 interval known to hold the optimum is replaced by its middle.
 
 A source whose target is beyond R times its tokens has its optimum at the bound:
@@ -44,6 +45,8 @@ from tessel.plans.lineage import Cut
 BLOCK = 50_000
 #: Relative error of a source's tokens at which its tilt is found, and the most Newton steps.
 CLOSE, STEPS = 1e-6, 60
+#: Tilts, and their opposites, at which a source's tokens are taken before the first step.
+GRID = 2.0 ** np.arange(-3, 7)
 
 
 def source_key(c: Column) -> Column:
@@ -57,10 +60,10 @@ def logit(rate: np.ndarray, cap: np.ndarray) -> np.ndarray:
     return np.log(share / (1 - share))
 
 
-def tilts(target: np.ndarray, sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], start: np.ndarray, close: float = CLOSE, steps: int = STEPS) -> tuple[np.ndarray, int]:
-    """The tilts at which the first of ``sums(tilts)``, increasing with its tilt, is ``target``, the second being its derivative; and the number of steps taken."""
+def tilts(target: np.ndarray, sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], start: np.ndarray, close: float = CLOSE, steps: int = STEPS, within: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, int]:
+    """The tilts at which the first of ``sums(tilts)``, increasing with its tilt, is ``target``, the second being its derivative; and the number of steps taken. ``within`` are bounds that hold them, if known."""
     at = start.astype(float).copy()
-    low, high = np.full(len(at), -np.inf), np.full(len(at), np.inf)
+    low, high = within or (np.full(len(at), -np.inf), np.full(len(at), np.inf))
     step = 0
     for step in range(1, steps + 1):
         value, slope = sums(at)
@@ -76,7 +79,7 @@ def tilts(target: np.ndarray, sums: Callable[[np.ndarray], tuple[np.ndarray, np.
 
 
 def solve(tokens: np.ndarray, target: np.ndarray, cap: np.ndarray, rate: np.ndarray, steps: int = 100) -> np.ndarray:
-    """Rates of sources that are one document each; at the cap where the target can't be met, 0 where it is 0. The tilts start from it."""
+    """Rates of sources that are one document each; at the cap where the target can't be met, 0 where it is 0."""
     out = np.where(target >= tokens * cap, cap, 0.0)
     live = (target > 0) & (target < tokens * cap)
     w, r, b = tokens[live], cap[live], logit(rate[live], cap[live])
@@ -142,22 +145,35 @@ def mix(docs: DataFrame, targets: DataFrame, doc: str = "doc_id", source: str =
 
     rate = F.when(F.col("tilt") == float("inf"), F.col("max_repeats").cast("double")).otherwise(_rate(F.col("tokens"), F.col("tilt"), F.col("base"), F.col("mean_tokens"), F.col("max_repeats")))
     if live.any():
-        index = {(r["mix_id"], r["source"]): i for i, r in enumerate(rows)}
+        # documents counted by length, once for each target that asks for their source; a step then needs the tilts alone, a number a target
+        which = np.flatnonzero(live)
+        asked = spark.createDataFrame([(rows[i]["source"], int(k), float(base[i]), float(mean[i]), float(cap[i])) for k, i in enumerate(which)], "source string, i int, base double, mean_tokens double, max_repeats double")
+        counted = cut(lengths.join(F.broadcast(asked), "source").drop("source"), "targets")
 
         def moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            now = tilt.copy()
-            now[live] = x
-            wanted = F.broadcast(table(now).where(~F.col("tilt").isin(float("inf"), float("-inf"))))  # a row for each row of the targets
-            tokens_ = F.col("k") * F.col("rate") * F.col("tokens")
-            got = lengths.join(wanted, "source").withColumn("rate", rate).groupBy("mix_id", "source").agg(F.sum(tokens_).alias("v"), F.sum(tokens_ * (1 - F.col("rate") / F.col("max_repeats")) * F.col("tokens") / F.col("mean_tokens")).alias("s"))
-            value, slope = np.zeros(len(rows)), np.zeros(len(rows))
+            tilt_ = F.element_at(F.array(*[F.lit(float(t)) for t in x]), F.col("i") + 1)
+            taken = F.col("k") * F.col("tokens") * _rate(F.col("tokens"), tilt_, F.col("base"), F.col("mean_tokens"), F.col("max_repeats"))
+            got = counted.select("i", "tokens", "mean_tokens", "max_repeats", taken.alias("v"), F.col("k").alias("n")).groupBy("i").agg(F.sum("v").alias("v"), F.sum(F.col("v") * (1 - F.col("v") / (F.col("n") * F.col("tokens") * F.col("max_repeats"))) * F.col("tokens") / F.col("mean_tokens")).alias("s"))
+            value, slope = np.zeros(len(x)), np.zeros(len(x))
             for r in got.collect():
-                value[index[r["mix_id"], r["source"]]], slope[index[r["mix_id"], r["source"]]] = r["v"], r["s"]
-            return value[live], slope[live]
-
-        alone = solve(have[live], goal[live], cap[live], factor[live])
-        start = logit(alone, cap[live]) - base[live]
-        tilt[live] = tilts(goal[live], moments, start)[0]
+                value[r["i"]], slope[r["i"]] = r["v"], r["s"]
+            return value, slope
+
+        # one aggregation over a coarse grid brackets each tilt; Newton starts between
+        grid = np.sort(np.concatenate([-GRID, [0.0], GRID]))
+        tries = counted.select("*", F.posexplode(F.array(*[F.lit(float(t)) for t in grid])).alias("j", "t"))
+        taken = F.col("k") * F.col("tokens") * _rate(F.col("tokens"), F.col("t"), F.col("base"), F.col("mean_tokens"), F.col("max_repeats"))
+        value = np.zeros((len(which), len(grid)))
+        for r in tries.groupBy("i", "j").agg(F.sum(taken).alias("v")).collect():  # a row a target and grid point
+            value[r["i"], r["j"]] = r["v"]
+        above = (value < goal[live][:, None]).sum(1)
+        edges = np.concatenate([[-np.inf], grid, [np.inf]])
+        low, high = edges[above], edges[above + 1]
+        one = np.arange(len(which))
+        lo, hi = value[one, np.clip(above - 1, 0, len(grid) - 1)], value[one, np.clip(above, 0, len(grid) - 1)]
+        share = np.clip((goal[live] - lo) / np.maximum(hi - lo, 1e-300), 0, 1)
+        start = np.where(np.isinf(low), grid[0], np.where(np.isinf(high), grid[-1], np.where(np.isinf(low), 0, low) + share * (np.where(np.isinf(high), 0, high) - np.where(np.isinf(low), 0, low))))
+        tilt[live] = tilts(goal[live], moments, start, within=(low, high))[0]
     rates = table(tilt)
 
     def rounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.operators.ranking import ranks_in_groups
@@ -49,23 +49,27 @@ def price_out(lengths: np.ndarray, worth: np.ndarray, limit: np.ndarray, capacit
     """Bounded knapsack by dynamic programming: how many of each of ``lengths``, at most ``limit``, the container worth most holds; with ``exact``, the one worth most of those filled to the last token, none if there is none. Multiples are split into powers of two."""
     value, tmp = np.full(capacity + 1, -np.inf if exact else 0.0), np.empty(capacity + 1)
     value[0] = 0.0
-    took: list[tuple[int, int, int, np.ndarray]] = []
+    items: list[tuple[int, int, int, float]] = []
     for i, (k, w, n) in enumerate(zip(lengths.tolist(), worth.tolist(), np.minimum(limit, capacity // lengths).tolist(), strict=True)):
         a = 1
         while n > 0:
             m = min(a, n)
             n -= m
             a *= 2
-            size = m * k
-            got = tmp[: capacity + 1 - size]
-            np.add(value[: capacity + 1 - size], m * w, out=got)
-            took.append((i, m, size, np.packbits(got > value[size:])))
-            np.maximum(value[size:], got, out=value[size:])
+            items.append((i, m, m * k, m * w))
+    better = np.empty((len(items), capacity + 1), dtype=bool)
+    add, greater, maximum, end = np.add, np.greater, np.maximum, capacity + 1
+    for row, (_, _, size, gain) in zip(better, items, strict=True):
+        with_, without = tmp[: end - size], value[size:]
+        add(value[: end - size], gain, out=with_)
+        greater(with_, without, out=row[size:])
+        maximum(without, with_, out=without)
     held, c = np.zeros(len(lengths), dtype=np.int64), capacity
     if value[c] == -np.inf:
         return held
-    for i, m, size, better in reversed(took):
-        if c >= size and better[(c - size) >> 3] >> (7 - ((c - size) & 7)) & 1:
+    for at in range(len(items) - 1, -1, -1):
+        i, m, size, _ = items[at]
+        if c >= size and better[at, c]:
             held[i] += m
             c -= size
     return held
@@ -202,20 +206,46 @@ def pack_all(items: DataFrame, item: str, tokens: str, capacities: list[int], cu
     base = items.select(F.col(item).alias("item"), n.alias("n"))
     ranked = cut(ranks_in_groups(base, ["n"], ["item"], "place", cut), "places")
     counts = cut(ranked.groupBy("n").agg(F.count(F.lit(1)).alias("k")), "lengths")  # one row a length
-    return {c: _packed(ranked, counts, item, c, cut) for c in capacities}
+    folded = {c: _fold(counts, c, cut) for c in capacities}
+    solved = solve_all(spark, {c: {int(r["last"]): int(r["k"]) for r in rows if r["last"] > 0} for c, (_, rows) in folded.items()})
+    return {c: _placed(ranked, *folded[c], solved[c], item, c) for c in capacities}
 
 
-def _packed(ranked: DataFrame, counts: DataFrame, item: str, capacity: int, cut: Cut) -> tuple[DataFrame, Solution, int]:
-    spark = ranked.sparkSession
+def solve_all(spark: SparkSession, histograms: dict[int, dict[int, int]]) -> dict[int, Solution]:
+    """The solution for each capacity, each a task of its own."""
+    kinds = "capacity long, n_relaxed long, bound long, times array<long>, lengths array<array<long>>, held array<array<long>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(c, solve(dict(zip(k, n, strict=True)), c)) for c, k, n in zip(*(b.column(x).to_pylist() for x in ("capacity", "k", "n")), strict=True)]
+            many = pa.list_(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[pa.array(x, pa.int64()) for x in ([c for c, _ in got], [s.n_relaxed for _, s in got], [s.bound for _, s in got])],
+                    pa.array([[t for t, _ in s.runs] for _, s in got], pa.list_(pa.int64())),
+                    *[pa.array([[list(f(h)) for _, h in s.runs] for _, s in got], many) for f in (dict.keys, dict.values)],
+                ],
+                names=["capacity", "n_relaxed", "bound", "times", "lengths", "held"],
+            )
+
+    asked = spark.createDataFrame([(c, list(h), list(h.values())) for c, h in histograms.items()], "capacity long, k array<long>, n array<long>")
+    rows = asked.mapInArrow(run, kinds).collect()  # bounded by the capacities
+    return {r["capacity"]: Solution([(t, dict(zip(k, n, strict=True))) for t, k, n in zip(r["times"], r["lengths"], r["held"], strict=True)], r["n_relaxed"], r["bound"]) for r in rows}
+
+
+def _fold(counts: DataFrame, capacity: int, cut: Cut) -> tuple[DataFrame, list]:
+    """For each length its last part, full parts, and what precedes it among those with the same last part; and the sums by last part, at most capacity + 1 rows."""
     last = F.when(F.col("n") > 0, (F.col("n") - 1) % capacity + 1).otherwise(0).cast("long")
     before = Window.partitionBy("last").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long")
     folded = counts.withColumn("last", last).withColumn("full", ((F.col("n") - F.col("last")) / capacity).cast("long"))
     folded = cut(folded.withColumn("before", earlier("k")).withColumn("full_before", earlier(F.col("k") * F.col("full"))), "folded")
-    rows = folded.groupBy("last").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("full")).alias("full")).orderBy("last").collect()  # at most capacity + 1 rows
-    histogram = {int(r["last"]): int(r["k"]) for r in rows}
-    empty = histogram.pop(0, 0)
-    solution = solve(histogram, capacity)
+    return folded, folded.groupBy("last").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("full")).alias("full")).orderBy("last").collect()
+
+
+def _placed(ranked: DataFrame, folded: DataFrame, rows: list, solution: Solution, item: str, capacity: int) -> tuple[DataFrame, Solution, int]:
+    spark = ranked.sparkSession
+    empty = any(r["last"] == 0 for r in rows)
     runs: dict[int, list[tuple[int, int, int]]] = {}
     done: dict[int, int] = {}
     container = 0
