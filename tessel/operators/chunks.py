@@ -32,10 +32,9 @@ def presplit(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int
     """(doc, chunk_index, total_chunks, is_chunked, chunk): fixed windows over texts longer than ``size``."""
     t = F.coalesce(F.col(text), F.lit(""))
     starts = F.when(F.length(t) > size, windows(F.length(t), size, overlap)).otherwise(F.array(F.lit(0)))
-    # cut before opening, so that no row carries the whole text
-    cuts = F.transform(starts, lambda at: F.substring(t, at + 1, F.lit(size)))
-    rows = docs.select(F.col(doc), F.size(starts).alias("total_chunks"), cuts.alias("_c")).select(doc, "total_chunks", F.posexplode("_c").alias("chunk_index", "chunk"))
-    return rows.select(doc, "chunk_index", "total_chunks", (F.col("total_chunks") > 1).alias("is_chunked"), "chunk")
+    # generator and cut are one code-generated stage: the text is passed on by reference and dropped, never copied into a row a chunk
+    rows = docs.select(F.col(doc), t.alias("_t"), starts.alias("_s")).select(doc, "_t", F.size("_s").alias("total_chunks"), F.posexplode("_s").alias("chunk_index", "_at"))
+    return rows.select(doc, "chunk_index", "total_chunks", (F.col("total_chunks") > 1).alias("is_chunked"), F.substring("_t", F.col("_at") + 1, F.lit(size)).alias("chunk"))
 
 
 def split_nodes(nodes: DataFrame, key: str, text: str = "text", size: int = 512, ratio: float = 0.0) -> DataFrame:
@@ -45,11 +44,10 @@ def split_nodes(nodes: DataFrame, key: str, text: str = "text", size: int = 512,
         raise ValueError("the overlap ratio must be in [0, 1)")
     n = F.length(F.coalesce(F.col(text), F.lit("")))
     starts = F.when(n > size, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array(F.lit(0)))
-    t = F.coalesce(F.col(text), F.lit(""))
-    cuts = F.transform(starts, lambda at: F.struct(at.alias("chunk_start"), F.substring(t, at + 1, F.lit(size)).alias("child_text")))
     others = [c for c in nodes.columns if c != text]
-    rows = nodes.select(*others, n.alias("parent_text_length"), cuts.alias("_c")).select(*others, "parent_text_length", F.posexplode("_c").alias("chunk_index", "_c"))
-    return rows.select(*others, "chunk_index", "_c.chunk_start", "parent_text_length", F.least(F.col("_c.chunk_start") + size, F.col("parent_text_length")).alias("chunk_end"), (F.col("parent_text_length") > size).alias("is_child_node"), "_c.child_text")
+    # as in presplit, the text never becomes part of a child's row
+    rows = nodes.select(*others, F.coalesce(F.col(text), F.lit("")).alias("_t"), n.alias("parent_text_length"), F.posexplode(starts).alias("chunk_index", "chunk_start"))
+    return rows.select(*others, "chunk_index", "chunk_start", "parent_text_length", F.least(F.col("chunk_start") + size, F.col("parent_text_length")).alias("chunk_end"), (F.col("parent_text_length") > size).alias("is_child_node"), F.substring("_t", F.col("chunk_start") + 1, F.lit(size)).alias("child_text"))
 
 
 def recursive_split(text: str, most: int, separators: list[str] = SEPARATORS) -> list[str]:
