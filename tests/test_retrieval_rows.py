@@ -66,3 +66,20 @@ def test_bm25_takes_queries_in_turns(spark, monkeypatch):
     monkeypatch.setattr(V, "BLOCK_WEIGHTS", 1)
     assert len(want) == 80 and sorted(V.bm25_top_k(d, q, 4).collect()) == want
     assert V.bm25_top_k(d, q.where("query_id < 0"), 4).count() == V.bm25_top_k(d.where("node_id < 0"), q, 4).count() == 0
+
+
+def test_fusion_shuffles_no_pairs(spark):
+    n = 24_000
+    d = spark.range(n).select(F.col("id").alias("node_id"), F.concat(F.lit("common w"), F.col("id") % 5).alias("text"), F.array((F.col("id") % 97).cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    q = spark.range(50).select(F.col("id").alias("query_id"), F.concat(F.lit("common w"), F.col("id")).alias("query"))
+    v = q.select("query_id", F.array(F.lit(1.0), F.col("query_id").cast("double")).alias("query"))
+    got, rows, _ = shuffled(spark, lambda: V.reciprocal_rank_fusion([V.dense_top_k(d, v, 10), V.bm25_top_k(d, q, 10)], 20).collect())
+    assert rows < 100_000  # of 1,200,000 pairs
+    dense = sorted((-(i % 97 + 3.0), i) for i in range(n))[:10]
+    sparse = [i for i in range(n) if i % 5 == 3][:10]
+    score = Counter()
+    for kept in ([i for _, i in dense], sparse):
+        for rank, i in enumerate(kept):
+            score[i] += 1 / (60 + rank)
+    want = sorted((-round(s, 9), i) for i, s in score.items())[:20]
+    assert [(r.node_id, r.rank) for r in sorted(got, key=lambda r: r.rank) if r.query_id == 3] == [(i, k) for k, (_, i) in enumerate(want)]
