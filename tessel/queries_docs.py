@@ -432,10 +432,7 @@ rr AS (SELECT query_id, node_id, chunk_index, score, row_number() OVER (PARTITIO
 
 
 def _reranked(spark, sf, k):
-    hits = _fused(spark, sf).join(_corpus(spark, sf), "node_id")
-    q = _text_queries(spark, sf)
-    kids = V.split_retrieved(hits).join(q, "query_id")
-    return V.rerank(kids, V.lexical_score(F.col("query"), F.col("child_text")), k)
+    return V.rerank_children(_fused(spark, sf), _corpus(spark, sf), _text_queries(spark, sf), k)
 
 
 @query(_KIDS + " SELECT query_id, node_id, chunk_index, round(score, 6) AS score, rank FROM rr")

@@ -4,8 +4,10 @@ import math
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from tessel import queries_docs, queries_io
 from tessel.operators import retrieval as V
 
 
@@ -83,3 +85,22 @@ def test_fusion_shuffles_no_pairs(spark):
             score[i] += 1 / (60 + rank)
     want = sorted((-round(s, 9), i) for i, s in score.items())[:20]
     assert [(r.node_id, r.rank) for r in sorted(got, key=lambda r: r.rank) if r.query_id == 3] == [(i, k) for k, (_, i) in enumerate(want)]
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """1,000 documents of 19,200 characters that don't compress, and a table of vectors."""
+    at = str(tmp_path_factory.mktemp("long"))
+    text = F.concat(F.lit("common "), *[F.sha2(F.concat_ws("-", "id", F.lit(i)), 256) for i in range(300)])
+    spark.range(1000).repartition(8).select(F.col("id").alias("doc_id"), F.concat(F.lit("Common w"), F.col("id")).alias("title"), text.alias("text")).write.parquet(f"{at}/documents.parquet")
+    spark.range(60).select(F.col("id").alias("vec_id"), F.array((F.col("id") % 7).cast("float"), F.lit(1.0).cast("float")).alias("embedding")).write.parquet(f"{at}/embeddings.parquet")
+    return at
+
+
+def least_shuffle(spark, at, name):
+    got, _, size = shuffled(spark, lambda: {**queries_docs.QUERIES, **queries_io.QUERIES}[name](spark, at).collect())
+    assert got and size < 4_000_000, size  # of 19,200,000 characters
+
+
+def test_split_rerank_shuffles_no_texts(spark, long_texts):
+    least_shuffle(spark, long_texts, "rag_split_rerank")
