@@ -214,9 +214,8 @@ def _chunks(spark, sf):
 def io_chunk_files(spark, sf):
     """K1: chunk files with zero-padded numbers, written and read back."""
     at = fresh_path(spark, "chunks")
-    W.write_chunk_files(_chunks(spark, sf).select("doc_id", "node_idx", "chunk_index", "content").repartition(4), at, "part")
-    back = spark.read.text(at, wholetext=True)
-    return back.select(F.col("doc_id").cast("long").alias("file_id"), "file_name", F.md5(F.regexp_replace("value", "\\n\\z", "").cast("binary")).alias("hash"))
+    W.write_chunk_files(_chunks(spark, sf).select("doc_id", "node_idx", "chunk_index", "content"), at, "part")
+    return S.read_chunk_files(spark, at).select(F.col("doc_id").cast("long").alias("file_id"), "file_name", F.md5(F.col("value").cast("binary")).alias("hash"))
 
 
 @query("SELECT chunk_id, file_id, content, array_to_string(path_titles, ' > ') AS path FROM text_chunk")

@@ -3,18 +3,51 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.operators.chunks import chunk_index, numbered_names
 
 
+#: Folder name of a document without a key, as Spark has it.
+NO_DOC = "__HIVE_DEFAULT_PARTITION__"
+
+
 def write_chunk_files(chunks: DataFrame, folder: str, prefix: str) -> None:
-    """One text value per chunk below its document, with its zero-padded name (K1)."""
-    named = numbered_names(chunks, prefix)
-    named.select("doc_id", "file_name", F.col("content").alias("value")).write.mode("overwrite").partitionBy("doc_id", "file_name").text(folder)
+    """One text file per chunk below its document's folder (doc_id=...), by its zero-padded name and holding its text alone (K1).
+
+    Tasks write the files themselves, through whatever file system pyarrow knows
+    by the folder's name: a committer would rename them one by one in the driver.
+    A file appears whole, and _SUCCESS once all are there.
+    """
+    spark = chunks.sparkSession
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    named = numbered_names(chunks, prefix).select(F.col("doc_id").cast("string").alias("doc_id"), "file_name", F.coalesce("content", F.lit("")).alias("content"))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = FileSystem.from_uri(folder)
+        last, n = object(), 0
+        for b in batches:
+            for doc, name, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "file_name", "content")), strict=True):
+                if doc != last:
+                    below, last = f"{at}/doc_id={NO_DOC if doc is None else quote(doc, safe=' ')}", doc
+                    fs.create_dir(below)
+                part = f"{below}/.{name}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write(text.encode())
+                fs.move(part, f"{below}/{name}")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    named.mapInArrow(put, "n bigint").agg(F.sum("n")).collect()
+    write_bytes(spark, f"{folder}/_SUCCESS", b"")
 
 
 def write_json(df: DataFrame, folder: str, partition: str | None = None) -> None:

@@ -6,6 +6,9 @@ import subprocess
 import sys
 from pathlib import Path
 
+from tessel.sources import files as S
+from tessel.sources import sinks as W
+
 RUN = """
 from pyspark.sql import SparkSession
 import __spark_entry__
@@ -24,3 +27,16 @@ def test_jdbc_from_executors(tmp_path, sf):
     env.pop("PYSPARK_GATEWAY_PORT", None)
     out = subprocess.run([sys.executable, "-c", RUN.format(at=tmp_path, sf=sf)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert "rows 25" in out.stdout, out.stderr[-2000:]
+
+
+def test_chunk_files_are_files(spark, tmp_path):
+    rows = [(1, 0, 0, "a\n"), (1, 0, 1, "b\n\nc\r\n"), (1, 2, 0, "片"), (None, 0, 0, ""), (2, 0, 0, None)]
+    d = spark.createDataFrame(rows, "doc_id long, node_idx int, chunk_index int, content string")
+    at = f"file://{tmp_path}/chunks"
+    for _ in range(2):
+        W.write_chunk_files(d, at, "part")
+    assert (tmp_path / "chunks/doc_id=1/part_0002.txt").read_bytes() == b"b\n\nc\r\n" and (tmp_path / "chunks/_SUCCESS").exists()
+    got = {(r.doc_id, r.file_name): r.value for r in S.read_chunk_files(spark, at).collect()}
+    assert got == {("1", "part_0001.txt"): "a\n", ("1", "part_0002.txt"): "b\n\nc\r\n", ("1", "part_0003.txt"): "片", (None, "part_0001.txt"): "", ("2", "part_0001.txt"): ""}
+    W.write_chunk_files(d.where("doc_id = 9"), at, "part")
+    assert S.read_chunk_files(spark, at).count() == 0
