@@ -243,8 +243,9 @@ def vocabulary(clean: DataFrame, grams: int = GRAMS, cut: Cut | None = None) ->
     return v, n.where(~keep).select("kind", "gram", "code", "n")
 
 
-def usual_errors(texts: DataFrame, held) -> frozenset:
-    """The errors (error, read, true) that are usual over the column ``text`` of all rows: each unknown word counts for the errors by which it would be a word that goes with a neighbour, Chinese characters with both."""
+def usual_errors(texts: DataFrame, held, rare: DataFrame, cut: Cut) -> frozenset:
+    """The errors (error, read, true) that are usual over the column ``text`` of all rows: each unknown word counts for the errors by which it would be a word that goes with a neighbour, Chinese characters with both. What workers don't hold is asked of the table ``rare``; a text counts once it has nothing left to ask."""
+    names = ["error", "read", "true", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, seen = Known(held.value), Counter()
@@ -252,9 +253,34 @@ def usual_errors(texts: DataFrame, held) -> frozenset:
             for t in b.column("text").to_pylist():
                 seen.update(explained(t, k))
         rows = list(seen.items())
-        yield pa.RecordBatch.from_arrays([*[pa.array([r[0][i] for r in rows], pa.string()) for i in range(3)], pa.array([r[1] for r in rows], pa.float64())], names=["error", "read", "true", "n"])
+        yield pa.RecordBatch.from_arrays([*[pa.array([r[0][i] for r in rows], pa.string()) for i in range(3)], pa.array([r[1] for r in rows], pa.float64())], names=names)
 
-    n = texts.select("text").mapInArrow(count, "error string, read string, true string, n double").groupBy("error", "read", "true").agg(F.sum("n").alias("n"))
+    def count_or_ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = pa.list_(pa.struct([("kind", pa.string()), ("gram", pa.string()), ("code", pa.int64())]))
+        seen = pa.list_(pa.struct([*((c, pa.string()) for c in names[:3]), ("n", pa.float64())]))
+        for b in batches:
+            asked, found = [], []
+            for t, e in zip(b.column("text").to_pylist(), b.column("told").to_pylist(), strict=True):
+                k = Known(held.value, e)
+                errors = explained(t, k)
+                asked.append([dict(zip(("kind", "gram", "code"), x, strict=True)) for x in sorted(k.asked)])
+                found.append([dict(zip(names, (*x, n), strict=True)) for x, n in errors.items()])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("_row", "text", "told")], pa.array(asked, ask), pa.array(found, seen)], names=["_row", "text", "told", "asked", "found"])
+
+    if not held.value.cut:
+        n = texts.select("text").mapInArrow(count, "error string, read string, true string, n double")
+    else:
+        n = None
+        todo = cut(texts.select("text").withColumn("_row", F.monotonically_increasing_id()).withColumn("told", F.array().cast(f"array<{_ANSWER}>")), "errors")
+        while True:
+            out = cut(todo.mapInArrow(count_or_ask, f"_row bigint, text string, told array<{_ANSWER}>, asked array<{_ASK}>, found array<struct<error:string,read:string,true:string,n:double>>"), "errors")
+            done = out.where("size(asked) = 0").select(F.explode("found").alias("f")).select("f.*")
+            n = done if n is None else n.unionByName(done)
+            open_ = out.where("size(asked) > 0")
+            if open_.isEmpty():
+                break
+            todo = cut(open_.join(told_more(open_, rare), "_row").select("_row", "text", F.concat("told", "more").alias("told")), "errors")
+    n = n.groupBy("error", "read", "true").agg(F.sum("n").alias("n"))
     script = F.when(F.col("error") == HAN_READ, 1).otherwise(0)
     share = F.col("n") / F.sum("n").over(Window.partitionBy(script))  # one row a pair of characters
     rows = n.withColumn("share", share).where((F.col("share") >= USUAL) & (F.col("n") >= USUAL_LEAST)).select("error", "read", "true").collect()  # at most 1 / USUAL of each script
@@ -265,15 +291,14 @@ def explained(text: str, k: Known) -> Counter:
     """The errors that explain unknown words of a text; a word that several explain counts once in all."""
     out: Counter = Counter()
     t = re.sub(rf"[{MARKS}][ \t]*\r?\n\s*", "", text)
-    known = k.v.words
     for line in t.lower().splitlines():
         ws = WORD.findall(line)
         for i in range(1, len(ws) - 1):  # a line's first and last words may be parts of one that is broken around furniture
             low = ws[i]
-            if low in known or len(low) < 3 or low.rstrip("!") in known:
+            if len(low) < 3 or k.word(low) or k.word(low.rstrip("!")):
                 continue
             before, after = ws[i - 1], ws[i + 1]
-            fit = [(e, r, c) for word, e, r, c in k.v.candidates(low) if f"{before} {word}" in k.v.pairs or f"{word} {after}" in k.v.pairs]
+            fit = [(e, r, c) for word, e, r, c in k.candidates(low) if k.pair(before, word) | k.pair(word, after)]
             for x in fit:
                 out[x] += 1 / len(fit)
     for _, x, found in han_spots(t, k, False):
@@ -635,6 +660,13 @@ def answers(asked: DataFrame, rare: DataFrame) -> DataFrame:
     return entry.unionByName(middles).unionByName(words)
 
 
+def told_more(open_: DataFrame, rare: DataFrame) -> DataFrame:
+    """(_row, more): the answers to each row's questions."""
+    asks = open_.select("_row", F.explode("asked").alias("a")).select("_row", "a.*")
+    got = asks.join(answers(asks.select("kind", "gram", "code").distinct(), rare), ["kind", "gram", "code"])
+    return got.groupBy("_row").agg(F.collect_list(F.struct("kind", "gram", "code", "n", "words")).alias("more"))
+
+
 def repair_scans(items: DataFrame, headings: DataFrame, corpus: DataFrame, keys: list[str], grams: int = GRAMS, cut: Cut | None = None) -> DataFrame:
     """(keys..., scanned, noises, text): every item with the kinds of noise found and its repaired text.
 
@@ -653,7 +685,7 @@ def repair_scans(items: DataFrame, headings: DataFrame, corpus: DataFrame, keys:
     clean = known.where(~scanned).select("text").unionByName(corpus.select("text")).unionByName(headings.select("text"))
     v, rare = vocabulary(clean, grams, cut)
     dirty = known.where(scanned & (F.col("text") != ""))
-    v.usual = usual_errors(dirty, spark.sparkContext.broadcast(v))
+    v.usual = usual_errors(dirty, spark.sparkContext.broadcast(v), rare, cut)
     held = spark.sparkContext.broadcast(v)
     own = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -694,7 +726,4 @@ def repair_scans(items: DataFrame, headings: DataFrame, corpus: DataFrame, keys:
         open_ = out.where("size(asked) > 0")
         if open_.isEmpty():
             return done
-        asks = open_.select("_row", F.explode("asked").alias("a")).select("_row", "a.*")
-        got = asks.join(answers(asks.select("kind", "gram", "code").distinct(), rare), ["kind", "gram", "code"])
-        more = got.groupBy("_row").agg(F.collect_list(F.struct("kind", "gram", "code", "n", "words")).alias("more"))
-        todo = cut(open_.join(more, "_row").select(*keys, "_row", "text", "title", "repeated", F.concat("told", "more").alias("told")), "scans")
+        todo = cut(open_.join(told_more(open_, rare), "_row").select(*keys, "_row", "text", "title", "repeated", F.concat("told", "more").alias("told")), "scans")
