@@ -104,3 +104,7 @@ def least_shuffle(spark, at, name):
 
 def test_split_rerank_shuffles_no_texts(spark, long_texts):
     least_shuffle(spark, long_texts, "rag_split_rerank")
+
+
+def test_parent_max_shuffles_no_texts(spark, long_texts):
+    least_shuffle(spark, long_texts, "rag_parent_max")
