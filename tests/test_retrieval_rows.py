@@ -108,3 +108,7 @@ def test_split_rerank_shuffles_no_texts(spark, long_texts):
 
 def test_parent_max_shuffles_no_texts(spark, long_texts):
     least_shuffle(spark, long_texts, "rag_parent_max")
+
+
+def test_served_shuffles_no_texts(spark, long_texts):
+    least_shuffle(spark, long_texts, "rag_served")
